@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe, chat_format, exact_dedup, line_dedup, simhash_dedup, token_files
+from skein.llm import bpe, chat_format, decontaminate, exact_dedup, line_dedup, simhash_dedup, token_files
 
 QUERIES = {
     "op1_simhash": simhash_dedup.op1_simhash,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_bpe": bpe.op4_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_token_files": token_files.op10_token_files,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_format": chat_format.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
 }
