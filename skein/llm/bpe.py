@@ -161,10 +161,11 @@ class Encoder:
         self.pieces: dict[str, bytes] = {token: np.uint32(k).tobytes() for token, k in self.vocabulary.special.items()}
         self.chars = 0
 
-    def words(self, text: str) -> list[str]:
+    def words(self, text: str, special: bool = True) -> list[str]:
+        """The words of a text; with special, the special tokens' strings are words of their own."""
         out: list[str] = []
-        for part in self.split.split(text) if "<|" in text else [text]:
-            if part in self.vocabulary.special:
+        for part in self.split.split(text) if special and "<|" in text else [text]:
+            if special and part in self.vocabulary.special:
                 out.append(part)
                 continue
             plain, fast, beyond, general = _patterns()
@@ -180,11 +181,11 @@ class Encoder:
         whole, at = ids.tobytes(), (4 * at).tolist()
         self.pieces.update(zip(words, [whole[a:b] for a, b in zip(at[:-1], at[1:])]))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], special: bool = True) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if len(self.pieces) > MEMORY_WORDS or self.chars > MEMORY_CHARS:
             self.forget()
-        laid = [self.words(text) for text in texts]
+        laid = [self.words(text, special) for text in texts]
         fresh = sorted(set().union(*laid).difference(self.pieces))
         self.learn(fresh)
         self.chars += sum(map(len, fresh))

@@ -98,7 +98,11 @@ def located(docs: DataFrame, bench: DataFrame, length: int = WINDOW, slop: int =
 def matches(docs: DataFrame, bench: DataFrame, length: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """(doc_id, item_id, start, n_words, kind): every phrase or, with a slop, near match."""
     found = located(only(docs, "doc_id", "text"), bench, length, slop)
-    kinds = F.concat(*[F.transform(c, lambda h, k=k: F.struct(h["start"].alias("start"), h["n"].alias("n_words"), h["items"].alias("items"), F.lit(k).alias("kind"))) for c, k in (("_hits", "phrase"), ("_near", "near"))])
+
+    def of_kind(column: str, kind: str) -> Column:
+        return F.transform(column, lambda h: F.struct(h["start"].alias("start"), h["n"].alias("n_words"), h["items"].alias("items"), F.lit(kind).alias("kind")))
+
+    kinds = F.concat(of_kind("_hits", "phrase"), of_kind("_near", "near"))
     rows = found.select("doc_id", F.explode(kinds).alias("m")).select("doc_id", "m.*")
     return rows.select("doc_id", F.explode("items").alias("item_id"), "start", "n_words", "kind")
 
