@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -200,29 +201,47 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3))
 
 
+def _predictions(labeller: Labeller, texts: list[str]) -> dict[str, pa.Array]:
+    names = [*labeller.model.languages, "und"]
+    winner, score, spans = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    if width := len(names) - 1:
+        labels, letters, lengths = labeller.label([WORD.findall(t.lower()) for t in texts])
+        text_of = np.repeat(np.arange(len(texts)), lengths)
+        share = np.bincount(text_of * width + labels, letters, len(texts) * width).reshape(-1, width)
+        total = share.sum(axis=1)
+        winner = np.where(total > 0, share.argmax(axis=1), -1)
+        score = np.where(total > 0, share.max(axis=1) / np.maximum(1, total), 0.0)
+        change = np.flatnonzero((np.diff(labels, prepend=-1) != 0) | (np.diff(text_of, prepend=-1) != 0))
+        spans = np.bincount(text_of[change], minlength=len(texts))
+    return {"lang_pred": pa.array([names[w] for w in winner], pa.string()), "score": pa.array(score), "n_spans": pa.array(spans, pa.int64())}
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, n_spans) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
-        names = [*shared.value.languages, "und"]
         for ids, texts in chunks(batches):
-            winner, score, spans = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            if width := len(names) - 1:
-                labels, letters, lengths = labeller.label([WORD.findall(t.lower()) for t in texts])
-                text_of = np.repeat(np.arange(len(texts)), lengths)
-                share = np.bincount(text_of * width + labels, letters, len(texts) * width).reshape(-1, width)
-                total = share.sum(axis=1)
-                winner = np.where(total > 0, share.argmax(axis=1), -1)
-                score = np.where(total > 0, share.max(axis=1) / np.maximum(1, total), 0.0)
-                change = np.flatnonzero((np.diff(labels, prepend=-1) != 0) | (np.diff(text_of, prepend=-1) != 0))
-                spans = np.bincount(text_of[change], minlength=len(texts))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "lang_pred": [names[w] for w in winner], "score": pa.array(score), "n_spans": pa.array(spans)})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), **_predictions(labeller, texts)})
 
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_spans long")
 
 
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose language is not `und`, columns unchanged: one pass, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(shared.value)
+        for batch in batches:
+            for part in slices(batch, 512):
+                lang = _predictions(labeller, texts_of(part))["lang_pred"]
+                yield part.filter(pa.compute.not_equal(lang, "und"))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def spans(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, start, end, lang): runs of words of one language, in code points, end exclusive."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
