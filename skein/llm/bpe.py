@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skein.llm.common import only, table, texts_of
 
 #: Texts encoded together, in characters, and what may be remembered of words.
-CHUNK_CHARS, MEMORY_WORDS, MEMORY_CHARS = 4_000_000, 300_000, 8_000_000
+CHUNK_CHARS, MEMORY_WORDS, MEMORY_CHARS = 4_000_000, 600_000, 12_000_000
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The words of normalised text; {L}, {N} and {S} are letters, digits and white space.
 WORDS = "[{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{N}]|[^{S}{L}{N}]+"

@@ -35,7 +35,7 @@ from skein.llm.common import only, shared_dir, stored, table
 
 END = 1
 #: Ids of a block at least, slots for counting (a power of two), new rules a round and in all, least count, rounds.
-BLOCK_IDS, SLOTS, ROUND_RULES, MOST_RULES, LEAST, ROUNDS = 1 << 20, 1 << 21, 6_000, 15_000, 12, 6
+BLOCK_IDS, SLOTS, ROUND_RULES, MOST_RULES, LEAST, ROUNDS = 1 << 20, 1 << 17, 6_000, 15_000, 12, 5
 HEAD = struct.Struct("<8Q")
 
 
@@ -53,7 +53,7 @@ def repair(ids: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray, n
         if len(ids) < 2 or room < 100:
             break
         pair = ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:]
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int32)
+        slot = ((ids[:-1] * np.uint32(0x9E3779B1)) ^ (ids[1:] * np.uint32(0x85EBCA6B))) >> np.uint32(33 - SLOTS.bit_length())
         inside = ~last[:-1]
         holder[slot] = pair  # one pair holds each slot; others wait for a later round
         own = inside & (holder[slot] == pair)
@@ -71,7 +71,7 @@ def repair(ids: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray, n
         taken = (rank < SLOTS) & (rank < before) & (rank <= beside)
         at = np.flatnonzero(taken)
         used, new = np.unique(rank[at], return_inverse=True)
-        if not len(used) or len(at) < 0.01 * len(ids):
+        if not len(used) or len(at) < 0.03 * len(ids):
             break
         made = holder[best[used]]
         added = np.stack([(made >> np.uint64(32)).astype(np.uint32), (made & np.uint64(0xFFFFFFFF)).astype(np.uint32)], axis=1)
@@ -163,13 +163,23 @@ def _library(path: str) -> Encoder:
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
+    mark = library.model.end_of_word_suffix.encode()
 
     class ByLibrary(Encoder):
         def learn(self, words: list[str]) -> None:
-            made = library.encode_batch_fast(words, add_special_tokens=False)
-            self.pieces.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(words, made))
-
-    return ByLibrary(path)
+            # Many words in one call, apart by a space; each ends with the one symbol that has the end mark.
+            some = [words[k : k + 500] for k in range(0, len(words), 500)]
+            made = [x.ids for x in library.encode_batch_fast([" ".join(x) for x in some], add_special_tokens=False)]
+            ids = np.fromiter((i for x in made for i in x), np.uint32, sum(map(len, made)))
+            ends = 4 * (np.flatnonzero(closes[ids]) + 1)
+            if len(ends) != len(words):
+                raise ValueError("the library split a word")
+            whole = ids.tobytes()
+            self.pieces.update(zip(words, [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]))
+
+    out = ByLibrary(path)
+    closes = np.array([t.endswith(mark) for t in out.vocabulary.tokens])
+    return out
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END) -> DataFrame:
