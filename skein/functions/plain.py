@@ -14,8 +14,8 @@ STOP, GENERIC, HONORIFIC, DESCRIPTOR, RELATIONAL = map(frozenset, (L.STOP_WORDS,
 
 @lru_cache(maxsize=100_000)
 def norm(text: str | None) -> str:
-    bare = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not "̀" <= c <= "ͯ").lower()
-    kept = (c if c.isspace() or unicodedata.category(c)[0] in "LN" else " " for c in bare if c not in "’'`")
+    bare = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not "\u0300" <= c <= "\u036f").lower()
+    kept = (c if c.isspace() or unicodedata.category(c)[0] in "LN" else " " for c in bare if c not in "\u2019'`")
     return " ".join("".join(kept).split())
 
 
@@ -90,7 +90,7 @@ def trim_end(text: str) -> str:
 
 def sanitize_key(key: str | None) -> str | None:
     flat = re.sub(r"[\r\n]+", " ", re.sub(r"\{\{.*?\}\}", "", key or "")).strip()
-    edge = "[/\"'“”‘’\\s]+"
+    edge = "[/\"'\u201c\u201d\u2018\u2019\\s]+"
     bare = re.sub(f"^{edge}|{edge}$", "", flat)
-    plain = 2 <= len(bare) <= 40 and norm(bare) not in GENERIC and not re.fullmatch(r"[0-9[^A-Za-z0-9_]]+|(?:[0-9]|[^A-Za-z0-9_])+", bare)
+    plain = 2 <= len(bare) <= 40 and norm(bare) not in GENERIC and not re.fullmatch(r"(?:[0-9]|[^A-Za-z0-9_])+", bare)
     return bare if plain else None

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skein.functions import lexicon as L
+from skein.functions import plain
 
 NOT_IN_WORD = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 APOSTROPHES = "[\u2019'`]"
@@ -157,7 +158,7 @@ def protagonist_words(names: list[str] | tuple[str, ...]) -> list[str]:
 
 
 def is_protagonist(x: Column | str, names: list[str] | tuple[str, ...]) -> Column:
-    return norm(x).isin(["user", "you", "player"]) | F.array_contains(F.array(F.lit("\0"), *[norm(F.lit(n)) for n in names]), norm(x))
+    return norm(x).isin(["user", "you", "player", *map(plain.norm, names)])
 
 
 def violates_agency(x: Column | str, names: list[str] | tuple[str, ...]) -> Column:
