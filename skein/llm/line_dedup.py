@@ -82,8 +82,9 @@ class Runs:
 
 def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
     """Descending ids that cut docs into batches of about equal size."""
-    cuts = docs.select(F.col("doc_id").cast("double").alias("d")).stat.approxQuantile("d", [k / batches for k in range(1, batches)], 0.02)
-    return sorted({int(c) for c in cuts}, reverse=True)
+    shares = [k / batches for k in range(1, batches)]
+    cuts = docs.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] if shares else None
+    return sorted(set(cuts or []), reverse=True)  # null over no rows
 
 
 def dropped_positions(docs: DataFrame, batches: int = BATCHES, least_docs: int = LEAST_DOCS) -> DataFrame:
