@@ -55,8 +55,11 @@ def rolled(o: DataFrame) -> DataFrame:
     )
 
 
-rounded = [F.round(c, 6).alias(c) for c in ("imp_max", "imp_avg", "conf_max", "conf_avg")]
-add("e3_entity_rollup", _events(lambda o: rolled(o).select(*KEY, "live_obs", "first_at", "last_at", *rounded)), _with(ROLL, then="SELECT chat_id, entity_id, live_obs, first_at, last_at, round(imp_max, 6) AS imp_max, round(imp_avg, 6) AS imp_avg, round(conf_max, 6) AS conf_max, round(conf_avg, 6) AS conf_avg FROM roll"))
+def rounded() -> list[Column]:
+    return [F.round(c, 6).alias(c) for c in ("imp_max", "imp_avg", "conf_max", "conf_avg")]
+
+
+add("e3_entity_rollup", _events(lambda o: rolled(o).select(*KEY, "live_obs", "first_at", "last_at", *rounded())), _with(ROLL, then="SELECT chat_id, entity_id, live_obs, first_at, last_at, round(imp_max, 6) AS imp_max, round(imp_avg, 6) AS imp_avg, round(conf_max, 6) AS conf_max, round(conf_avg, 6) AS conf_avg FROM roll"))
 add("e6_alias_set", _events(lambda o: D.first_distinct(o, ["chat_id"], "entity_id", ["pos"], 3).select("chat_id", F.array_join("values", ",").alias("aliases"))),
     _with(TOP.format(where=""), then="SELECT chat_id, string_agg(entity_id, ',' ORDER BY first) AS aliases FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY first) AS k FROM votes) WHERE k <= 3 GROUP BY chat_id"))
 add("e7_key_set", _events(lambda o: D.first_distinct(o, ["chat_id"], "entity_id", ["pos"]).select("chat_id", F.array_join(F.array_distinct(F.concat(F.array(F.lit("static"), F.lit("view")), "values")), ",").alias("keys"))),
@@ -116,20 +119,21 @@ def facts(o: DataFrame, status: Column, slot: str) -> DataFrame:
     )
 
 
-def _folded(status: Column, slot: str, settings: Settings, columns: list[Column | str]):
-    return _events(lambda o: K.fold_facts(facts(o, status, slot), settings).where("kind = 'fact'").select("chat_id", *columns))
+def _folded(status: str, slot: str, settings: Settings, columns: list[str]):
+    """Facts after the fold; status and columns are SQL expressions."""
+    return _events(lambda o: K.fold_facts(facts(o, F.expr(status), slot), settings).where("kind = 'fact'").selectExpr("chat_id", *columns))
 
 
 WORDS = "w AS (SELECT chat_id, 'w' || md5(entity_id) AS text, CASE WHEN value < 50 THEN 'rumor' ELSE 'confirmed' END AS status, obs_id, pos FROM obs)"
 SEEN = "seen AS (SELECT chat_id, text, count(*) AS n, min(pos) AS first FROM w GROUP BY ALL)"
-add("k2_fact_dedupe", _folded(F.lit("rumor"), "", SETTINGS, ["text", F.size("sigs").cast("long").alias("n"), "at"]), _with(WORDS, SEEN, then='SELECT chat_id, text, n, first AS "at" FROM seen'))
-add("k5_slot_conflict", _folded(F.lit("confirmed"), "location", Settings(conflict_policy="latest"), ["text", "state"]), _with(WORDS, SEEN, then="SELECT chat_id, text, CASE WHEN first = max(first) OVER (PARTITION BY chat_id) THEN 'active' ELSE 'superseded' END AS state FROM seen"))
-add("f6_conflict_prev", _folded(F.lit("confirmed"), "location", Settings(conflict_policy="latest"), ["text", "sup_by"]), _with(WORDS, SEEN, then="SELECT chat_id, text, 'F' || left(md5('who|' || lead(text) OVER (PARTITION BY chat_id ORDER BY first)), 12) AS sup_by FROM seen"))
-add("k3_fact_settle", _folded(F.when(F.col("value") < 50, "rumor").otherwise("confirmed"), "", SETTINGS, ["text", "status", "state"]),
+add("k2_fact_dedupe", _folded("'rumor'", "", SETTINGS, ["text", "cast(size(sigs) as bigint) as n", "at"]), _with(WORDS, SEEN, then='SELECT chat_id, text, n, first AS "at" FROM seen'))
+add("k5_slot_conflict", _folded("'confirmed'", "location", Settings(conflict_policy="latest"), ["text", "state"]), _with(WORDS, SEEN, then="SELECT chat_id, text, CASE WHEN first = max(first) OVER (PARTITION BY chat_id) THEN 'active' ELSE 'superseded' END AS state FROM seen"))
+add("f6_conflict_prev", _folded("'confirmed'", "location", Settings(conflict_policy="latest"), ["text", "sup_by"]), _with(WORDS, SEEN, then="SELECT chat_id, text, 'F' || left(md5('who|' || lead(text) OVER (PARTITION BY chat_id ORDER BY first)), 12) AS sup_by FROM seen"))
+add("k3_fact_settle", _folded("if(value < 50, 'rumor', 'confirmed')", "", SETTINGS, ["text", "status", "state"]),
     _with(WORDS, then="SELECT chat_id, text, status, CASE WHEN status = 'rumor' AND EXISTS (SELECT 1 FROM w c WHERE c.chat_id = r.chat_id AND c.text = r.text AND c.status = 'confirmed' AND c.pos > r.first) THEN CASE WHEN (SELECT min(c.pos) FROM w c WHERE c.chat_id = r.chat_id AND c.text = r.text AND c.status = 'confirmed') > r.first THEN 'superseded' ELSE 'active' END ELSE 'active' END AS state FROM (SELECT chat_id, text, status, min(pos) AS first FROM w GROUP BY ALL) r"))
 add("k1_fact_init", _events(lambda o: facts(o, F.lit("confirmed"), "").select("chat_id", "fact_id", "text", "at", "state")), _with(WORDS, then="""SELECT chat_id, 'F' || left(md5('who|' || text), 12) AS fact_id, text, pos AS "at", 'active' AS state FROM w"""))
 for _key in ("f3_fact_fold", "k7_fold_driver"):
-    add(_key, _folded(F.when(F.col("value") < 50, "rumor").otherwise("confirmed"), "location", Settings(conflict_policy="both"), ["text", "status", "state", "disputed", F.size("sigs").alias("n")]))
+    add(_key, _folded("if(value < 50, 'rumor', 'confirmed')", "location", Settings(conflict_policy="both"), ["text", "status", "state", "disputed", "size(sigs) as n"]))
 
 
 def _longer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +194,6 @@ CLASSIFIED = f"""ents AS (
     WHEN imp_max >= 8 THEN 'importance ' || printf('%.1f', imp_max) || ' ≥ 8' ELSE episodes::INT || ' scenes, importance ' || printf('%.1f', imp_max) END AS reason
   FROM ents JOIN rules USING (type)
 )"""
-SPLIT_REASON = "split(reason, '[0-9]')[0]"
 add("k9_classify", _events(lambda o: classified(o).select(*KEY, "type", "state", F.regexp_replace("reason", "[0-9]+[.][0-9]+", "#").alias("reason"), "episodes", "appear")),
     _with(ROLL, EPISODES, RULES, CLASSIFIED, then="SELECT chat_id, entity_id, type, state, regexp_replace(reason, '[0-9]+[.][0-9]+', '#', 'g') AS reason, episodes::INT AS episodes, appear::INT AS appear FROM classified"))
 add("b14_renderable_filter", _events(lambda o: classified(o).where("state in ('promoted', 'candidate') and has_content").select(*KEY)), _with(ROLL, EPISODES, RULES, CLASSIFIED, then="SELECT chat_id, entity_id FROM classified WHERE state IN ('promoted', 'candidate') AND has_content"))
