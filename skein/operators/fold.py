@@ -130,7 +130,8 @@ def fold_facts(rows: DataFrame, settings: Settings) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values(["at", "obs_id", "ord"], kind="stable").astype(object)
         ordered = ordered.where(ordered.notna(), None)
-        out = pd.DataFrame(list(fold_rows(ordered.to_dict("records"), settings)), columns=columns, dtype=object)
+        absent = dict.fromkeys(columns)
+        out = pd.DataFrame([absent | r for r in fold_rows(ordered.to_dict("records"), settings)], columns=columns, dtype=object)
         for name in ("at", "obs_id", "ord"):
             out[name] = out[name].astype("Int64")
         return out
