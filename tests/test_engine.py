@@ -1,6 +1,7 @@
 """Scenarios over the engine: many chats go through every step at once."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from skein.engine import Engine
 from skein.functions.settings import Settings
 from skein.operators import chain as C
 
+pytestmark = pytest.mark.skipif(not os.environ.get("SKEIN_SLOW"), reason="many jobs over tiny tables: minutes; set SKEIN_SLOW=1")
 PLAYER, STORY = True, False
 
 
