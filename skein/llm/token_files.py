@@ -2,9 +2,10 @@
 
 Documents are range-partitioned by doc_id and every partition writes one file of blocks. In a block, frequent pairs of
 neighbouring ids are replaced by nonterminals, again and again, each round on what the round before has left. A round
-counts all pairs exactly (a hash slot counts for the pair that holds it), ranks them by count and replaces every
-occurrence that has a better rank than its neighbours', so overlaps resolve the same way everywhere. No pair crosses
-the end of a document, so each document is a run of symbols of its own.
+counts all pairs exactly by sorting them (occurrences that overlap in a run of one symbol count once), ranks them by
+count and replaces every occurrence that has a better rank than its neighbours', so overlaps resolve the same way
+everywhere. Rounds end when no pair occurs LEAST times, or at MOST_RULES rules. No pair crosses the end of a document,
+so each document is a run of symbols of its own.
 
 File: blocks one after the other. Block, little-endian: 8 unsigned 64-bit integers (documents, rules, symbols, bytes of
 a symbol, first nonterminal, ids, CRC-32 of the rest, 0); doc_id (int64 each) and a mask of null ids (uint8); the
@@ -34,67 +35,90 @@ from skein.llm.bpe import Encoder, chunks, default_path
 from skein.llm.common import only, shared_dir, stored, table
 
 END = 1
-#: Ids of a block at least, slots for counting (a power of two), new rules a round and in all, least count, rounds.
-BLOCK_IDS, SLOTS, ROUND_RULES, MOST_RULES, LEAST, ROUNDS = 1 << 20, 1 << 17, 6_000, 15_000, 12, 5
+#: Ids of a block at least, new rules a round and in all (symbols then fit in two bytes), least count of a pair.
+BLOCK_IDS, ROUND_RULES, MOST_RULES, LEAST = 1 << 20, 6_000, 15_000, 12
 HEAD = struct.Struct("<8Q")
 
 
 def repair(ids: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over ids, where last marks the end of each document and nonterminals begin at first.
 
-    Returns the symbols, their end marks, the rules (n x 2) and the expansion length of each rule.
+    Returns the symbols, their end marks, the rules (n x 2) and the expansion length of each rule. Unless MOST_RULES are
+    made, no pair is left that occurs LEAST times.
     """
     ids, last = ids.astype(np.uint32), last.copy()
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
-    holder = np.zeros(SLOTS, np.uint64)
-    rank_of = np.full(SLOTS, -1, np.int32)
-    for _ in range(ROUNDS):
-        room = min(ROUND_RULES, MOST_RULES - len(rules))
-        if len(ids) < 2 or room < 100:
+    # A pair and its place are one number, so that one sort counts pairs and tells where they are.
+    width, place = np.uint64((first + MOST_RULES).bit_length()), np.uint64(len(ids).bit_length())
+    low = lambda bits: (np.uint64(1) << bits) - np.uint64(1)
+    if len(ids) and max(int(ids.max()) >> int(width), 2 * int(width) + int(place) - 64) > 0:
+        raise ValueError("a block has too many ids or symbols")
+    # Counts never grow: places whose pair was rare are not looked at again until a new symbol stands there.
+    live = np.ones(len(ids), bool)
+    while len(ids) > 1 and (room := min(ROUND_RULES, MOST_RULES - len(rules))) > 0:
+        live &= ~last
+        live[-1] = False
+        counted = live.copy()
+        same = np.flatnonzero((ids[1:] == ids[:-1]) & ~last[:-1])
+        if len(same):  # in a run of one symbol every other pair counts: the others overlap these
+            begin = np.maximum.accumulate(np.where(np.diff(same, prepend=-2) != 1, same, 0))
+            counted[same[(same - begin) % 2 == 1]] = False
+        at = np.flatnonzero(counted)
+        if len(at) < LEAST:
             break
-        pair = ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:]
-        slot = ((ids[:-1] * np.uint32(0x9E3779B1)) ^ (ids[1:] * np.uint32(0x85EBCA6B))) >> np.uint32(33 - SLOTS.bit_length())
-        inside = ~last[:-1]
-        holder[slot] = pair  # one pair holds each slot; others wait for a later round
-        own = inside & (holder[slot] == pair)
-        counts = np.bincount(slot[own], minlength=SLOTS)
+        keyed = (ids[at].astype(np.uint64) << width | ids[at + 1]) << place | at.astype(np.uint64)
+        keyed.sort()
+        pair, places = keyed >> place, (keyed & low(place)).astype(np.int64)
+        begins = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        counts = np.diff(begins, append=len(pair))
         best = np.flatnonzero(counts >= LEAST)
         if not len(best):
             break
+        live[places[np.repeat(counts < LEAST, counts)]] = False
         best = best[np.argsort(-counts[best], kind="stable")][:room]
+        rank_of = np.full(len(counts), MOST_RULES, np.int32)
         rank_of[best] = np.arange(len(best), dtype=np.int32)
-        rank = np.where(own, rank_of[slot], -1)
-        rank_of[best] = -1
-        rank[rank < 0] = SLOTS
-        beside = np.concatenate((rank[1:], [SLOTS]))
-        before = np.concatenate(([SLOTS], rank[:-1]))
-        taken = (rank < SLOTS) & (rank < before) & (rank <= beside)
-        at = np.flatnonzero(taken)
-        used, new = np.unique(rank[at], return_inverse=True)
-        if not len(used) or len(at) < 0.03 * len(ids):
-            break
-        made = holder[best[used]]
-        added = np.stack([(made >> np.uint64(32)).astype(np.uint32), (made & np.uint64(0xFFFFFFFF)).astype(np.uint32)], axis=1)
+        rank = np.full(len(ids) + 1, MOST_RULES, np.int32)  # one more at either end: the last is before the first
+        rank[places] = np.repeat(rank_of, counts)
+        taken = np.flatnonzero((rank[:-1] < np.roll(rank, 1)[:-1]) & (rank[:-1] < rank[1:]))
+        # A pair that keeps fewer than LEAST places waits; the best one keeps all of its own.
+        worth = np.bincount(rank[taken], minlength=len(best)) >= LEAST
+        taken = taken[worth[rank[taken]]]
+        made = pair[begins[best[worth]]]
+        added = np.stack([(made >> width).astype(np.uint32), (made & low(width)).astype(np.uint32)], axis=1)
         size = np.concatenate((np.ones(first, np.uint32), lengths))
+        ids[taken] = (first + len(rules) + np.cumsum(worth) - 1)[rank[taken]].astype(np.uint32)
         rules, lengths = np.concatenate((rules, added)), np.concatenate((lengths, size[added[:, 0]] + size[added[:, 1]]))
-        ids[at] = (first + len(size) - first + new).astype(np.uint32)
-        last[at] = last[at + 1]
+        last[taken] = last[taken + 1]
+        live[taken] = True
+        live[taken[taken > 0] - 1] = True
         kept = np.ones(len(ids), bool)
-        kept[at + 1] = False
-        ids, last = ids[kept], last[kept]
+        kept[taken + 1] = False
+        ids, last, live = ids[kept], last[kept], live[kept]
     return ids, last, rules, lengths
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids that the symbols stand for, level by level."""
-    out = symbols.astype(np.uint32)
-    while len(out) and (deep := out >= first).any():
-        at = np.cumsum(1 + deep) - 1 - deep
-        grown = np.empty(int(at[-1] + 1 + deep[-1]), np.uint32)
-        grown[at[~deep]] = out[~deep]
-        grown[at[deep]], grown[at[deep] + 1] = rules[out[deep] - first].T
-        out = grown
-    return out
+    """The ids that the symbols stand for: the rules in use are expanded once, level by level, and then copied."""
+    symbols = symbols.astype(np.uint32)
+    deep = symbols >= first
+    own = symbols[deep] - np.uint32(first)
+    used = np.zeros(len(rules), bool)
+    used[own] = True
+    out = np.flatnonzero(used).astype(np.uint32) + np.uint32(first)
+    rule = np.arange(len(out))
+    while (more := out >= first).any():
+        at = np.cumsum(1 + more) - 1 - more
+        grown = np.empty(len(out) + int(more.sum()), np.uint32)
+        grown[at[~more]] = out[~more]
+        grown[at[more]], grown[at[more] + 1] = rules[out[more] - first].T
+        out, rule = grown, np.repeat(rule, 1 + more)
+    length = np.bincount(rule, minlength=int(used.sum()))
+    number = (np.cumsum(used) - 1)[own]
+    size, source = np.ones(len(symbols), np.int64), len(out) + np.arange(len(symbols))
+    size[deep], source[deep] = length[number], (np.cumsum(length) - length)[number]
+    shift = np.repeat(source - (np.cumsum(size) - size), size)
+    return np.concatenate((out, symbols))[shift + np.arange(len(shift))]
 
 
 def pack(doc_ids: list, ids: list[np.ndarray], first: int) -> bytes:

@@ -75,6 +75,23 @@ def test_repair_compresses():
     assert len(symbols) < len(ids) / 4 and lengths.max() > 4 and len(rules) == len(lengths)
 
 
+def test_repair_leaves_no_frequent_pair():
+    # Pairs that occur 12 times each, apart by ids that hardly repeat: little gain, and more pairs than a small table holds.
+    rng = np.random.default_rng(3)
+    rows = np.stack([np.tile(np.arange(3_000), 12), np.tile(np.arange(3_000, 6_000), 12), rng.integers(6_000, 45_000, 36_000)], axis=1)
+    ids = np.concatenate((np.full(3_000, 45_001), rows.ravel())).astype(np.uint32)
+    last = np.zeros(len(ids), bool)
+    last[[99, 5_000, len(ids) - 1]] = True
+    symbols, ends, rules, _ = token_files.repair(ids, last, 50_000)
+    assert (token_files.expand(symbols, rules, 50_000) == ids).all() and ends.sum() == 3 and len(rules) < token_files.MOST_RULES
+    counts, overlaps = {}, False
+    for a, b, c, end in zip([None, *symbols[:-2].tolist()], symbols[:-1].tolist(), symbols[1:].tolist(), ends[:-1].tolist()):
+        overlaps = a == b == c and not end and not overlaps
+        if not end and not overlaps:
+            counts[b, c] = counts.get((b, c), 0) + 1
+    assert max(counts.values()) < token_files.LEAST, {k: n for k, n in counts.items() if n >= token_files.LEAST}
+
+
 def test_token_files(spark, monkeypatch):
     rows = [(7, "b"), (3, "a"), (3, None), (None, "z"), *[(k, t) for k, t in enumerate(ODD, 10)]]
     got = sorted(map(tuple, token_files.read(token_files.write(frame(spark, rows), shared_dir(spark))).collect()), key=lambda r: r[1])
