@@ -229,15 +229,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose language is not `und`, columns unchanged: one pass, no shuffle."""
+    """The rows of docs whose language is not `und`, or that have a letter if no language was learned; columns unchanged.
+
+    One pass, no shuffle.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
         for batch in batches:
             for part in slices(batch, 512):
-                lang = _predictions(labeller, texts_of(part))["lang_pred"]
-                yield part.filter(pa.compute.not_equal(lang, "und"))
+                texts = texts_of(part)
+                if shared.value.languages:
+                    yield part.filter(pa.compute.not_equal(_predictions(labeller, texts)["lang_pred"], "und"))
+                else:
+                    yield part.filter(pa.array([any(map(str.isalpha, t)) for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -109,6 +109,13 @@ def test_pii_scores_iban_and_long_texts(spark):
     assert sorted(len(r["spans"]) for r in rows) == [0, 0, 1, 1]
 
 
+def test_language_stage_without_labels(spark):
+    docs = frame(spark, [(1, "some words"), (2, None), (3, "12 34"), (4, "слова"), (None, "x")]).withColumn("lang", F.lit(None).cast("string"))
+    model = language_id.train(docs)
+    assert model.languages == []
+    assert {r["text"] for r in language_id.identified(docs, model).collect()} == {"some words", "слова", "x"}
+
+
 def test_decontaminate(spark):
     rng = np.random.default_rng(4)
     vocabulary = [f"w{i}" for i in range(40)]
