@@ -63,7 +63,7 @@ def postings(docs: DataFrame, terms: DataFrame, folder: str) -> DataFrame:
 
 def candidates(index: DataFrame, anchors: DataFrame, slop: int = SLOP) -> DataFrame:
     """(doc_id, row, start, terms, items): where both rarest words of a window stand at their offsets, give or take the slop."""
-    first = index.join(_few(anchors), F.col("term") == F.col("t1")).select("doc_id", "row", (F.col("pos") - F.col("o1")).alias("start"), "terms", "items", "t2", "o2").where("start >= 0")
+    first = index.join(_few(anchors), F.col("term") == F.col("t1")).select("doc_id", "row", (F.col("pos") - F.col("o1")).alias("start"), "terms", "items", "t2", "o2").where(f"start >= {-slop}")
     alone = first.where("t2 is null")
     both = first.where("t2 is not null").withColumn("at", F.explode(F.array(*[F.col("start") + F.col("o2") + F.lit(d) for d in range(-slop, slop + 1)])))
     second = index.select(F.col("term").alias("t2"), F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("pos").alias("at"))
@@ -83,14 +83,14 @@ def located(docs: DataFrame, bench: DataFrame, length: int = WINDOW, slop: int =
     met = met.select(*[docs[c] for c in docs.columns], words(docs["text"]).alias("_words"), F.coalesce("_found", F.expr("cast(array() as array<struct<start:int,terms:array<string>,items:array<string>>>)")).alias("_found"))
 
     def exact(c: Column) -> Column:
-        return F.slice("_words", c["start"] + 1, F.size(c["terms"])) == c["terms"]
+        return (c["start"] >= 0) & (F.slice("_words", F.greatest(F.lit(1), c["start"] + 1), F.size(c["terms"])) == c["terms"])
 
     def close(c: Column) -> Column:
         begin = F.greatest(F.lit(1), c["start"] + 1 - slop)
-        span = F.slice("_words", begin, F.size(c["terms"]) + 2 * slop)
+        span = F.slice("_words", begin, F.greatest(F.lit(0), c["start"] + F.size(c["terms"]) + slop + 1 - begin))
         return ~exact(c) & (F.size(F.array_intersect(c["terms"], span)) == F.size(F.array_distinct(c["terms"])))
 
-    short = lambda c: F.struct(c["start"].alias("start"), F.size(c["terms"]).alias("n"), c["items"].alias("items"))
+    short = lambda c: F.struct(F.greatest(F.lit(0), c["start"]).alias("start"), F.size(c["terms"]).alias("n"), c["items"].alias("items"))
     near = F.transform(F.filter("_found", close), short) if slop else F.expr("cast(array() as array<struct<start:int,n:int,items:array<string>>>)")
     return met.select(*[F.col(f"`{c}`") for c in docs.columns], "_words", F.transform(F.filter("_found", exact), short).alias("_hits"), near.alias("_near"))
 

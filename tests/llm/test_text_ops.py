@@ -116,6 +116,14 @@ def test_language_stage_without_labels(spark):
     assert {r["text"] for r in language_id.identified(docs, model).collect()} == {"some words", "слова", "x"}
 
 
+def test_decontaminate_near_match_at_the_start(spark):
+    docs = frame(spark, [(1, "brown quick fox"), (2, "quick fox"), (3, "quick fox and then more brown")])
+    bench = spark.createDataFrame([(1, "quick brown fox")], "item_id long, text string")
+    near = decontaminate.matches(docs, bench, slop=2).collect()
+    assert {(r["doc_id"], r["start"], r["kind"]) for r in near if r["doc_id"] == 1} == {(1, 0, "near")}
+    assert decontaminate.matches(docs, bench).collect() == []
+
+
 def test_decontaminate(spark):
     rng = np.random.default_rng(4)
     vocabulary = [f"w{i}" for i in range(40)]
