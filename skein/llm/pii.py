@@ -43,7 +43,9 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+GROUPED = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
+WORD_END = re.compile(r"(?![A-Za-z0-9])")
 NEAR_WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -94,10 +96,17 @@ def mod97(code: str) -> bool:
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield m.span()
+    """The longest of the ends, at the end of a word, with which the number is grouped as an IBAN and passes mod-97."""
+    at = 0
+    while m := IBAN.search(text, at):
+        at = m.start() + 2
+        for end in range(m.end(), m.start() + 14, -1):
+            if text[end - 1] != " " and WORD_END.match(text, end) and GROUPED.fullmatch(text, m.start(), end):
+                code = text[m.start() : end].replace(" ", "")
+                if 15 <= len(code) <= 34 and mod97(code):
+                    yield m.start(), end
+                    at = end
+                    break
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:

@@ -109,6 +109,14 @@ def test_pii_scores_iban_and_long_texts(spark):
     assert sorted(len(r["spans"]) for r in rows) == [0, 0, 1, 1]
 
 
+def test_pii_iban_before_upper_case_words():
+    for iban, rest in (("ES9121000418450200051332", " 2024-01-01"), ("BE68 5390 0754 7034", " NOW"), ("BE68539007547034", " 12 EUR"), ("BE68539007547034", " BE68539007547034")):
+        found = [(iban + rest)[a:b] for k, a, b, _ in pii.find(iban + rest) if k == "iban"]
+        assert found[0] == iban and len(found) == 1 + (rest.strip() == iban)
+    assert not [x for x in pii.find("BE68539007547035 12 EUR ABE68539007547034") if x[0] == "iban"]
+    pii.find("AA11 " * 20_000)
+
+
 def test_language_stage_without_labels(spark):
     docs = frame(spark, [(1, "some words"), (2, None), (3, "12 34"), (4, "слова"), (None, "x")]).withColumn("lang", F.lit(None).cast("string"))
     model = language_id.train(docs)
