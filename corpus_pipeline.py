@@ -15,18 +15,20 @@ from skein.llm import bpe, decontaminate, language_id, line_dedup, simhash_dedup
 from skein.llm.common import shared_dir, stored, table
 
 
+#: The share of a document's letters that its language must have. Foreign spans and rough text stay, mixtures go.
+MAJORITY = 0.5
+
+
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language: null text, or text without a letter. Foreign spans and rough text stay."""
-    return language_id.identified(docs, language_id.train(docs))
+    """Rejects documents in no language: null text, text without a letter, or no language for MAJORITY of the letters."""
+    return language_id.identified(docs, language_id.train(docs), MAJORITY)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines that three or more documents share out of all but the last of them; no document goes."""
-    made = line_dedup.dedup(docs)
-    changed = F.col("_n_dropped") > 0
-    text = F.when(changed, F.col("_kept")).otherwise(F.col("text"))
-    own = {"text": text, "n_chars": F.when(changed, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))}
-    return made.select(*[own.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    made, changed = line_dedup.dedup(docs), F.col("n_dropped") > 0
+    own = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return made.select(*[(F.when(changed, own[c]).otherwise(F.col("doc")[c]) if c in own else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
