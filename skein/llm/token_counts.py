@@ -7,7 +7,8 @@ separator) and a tail. A prefix scan over the blocks of a file numbers the docum
 to the same document are added up. A document may span any number of blocks.
 
 Defined cases: an empty document counts 0 tokens; ids after the last separator are a document without an end, reported
-with ended = false; null text is empty; repeated rows are documents of their own; extra columns are ignored.
+with ended = false; null text is empty; repeated rows are documents of their own; a null doc_id is counted like any
+other; a document may be longer than a block; an empty table or file gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,4 +92,5 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes documents as flat token files, scans the files, and returns (doc_id, n_tokens) of every document."""
     token_files, who = write(table(spark, sf_dir, "documents"), shared_dir(spark))
     counts = scan(token_files, encoder(default_path()).vocabulary.special[SEPARATOR])
-    return counts.join(who, ["path", "k"]).select("doc_id", "n_tokens")
+    # Both sides have a row a document, so neither is broadcast, however small its files are.
+    return counts.hint("merge").join(who.hint("merge"), ["path", "k"]).select("doc_id", "n_tokens")
