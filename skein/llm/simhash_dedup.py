@@ -5,9 +5,10 @@ exact copies cost nothing. The search has three parts:
 
 1. Forest. The bits are dealt into blocks. With radii r_b such that sum(r_b + 1) > radius, two linked fingerprints are
    within r_b of each other on at least one block b (pigeonhole), so one vantage-point tree for each block, searched
-   with that block's smaller radius, misses no link. A tree is fitted on a bounded sample (`sample`, documented, drawn
-   by hash order), but every fingerprint is routed through it: a node holds a vantage point p and a median distance m;
-   fingerprints with d(p, x) <= m go left, the others right.
+   with that block's smaller radius, misses no link. A tree is fitted on a bounded sample (SAMPLE, drawn by hash), but
+   every fingerprint is routed through it: a node holds a vantage point p and a median distance m; fingerprints with
+   d(p, x) <= m go left, the others right. A leaf that gets many rows is given a tree of its own, fitted by a task on a
+   sample of that leaf, and so on for DEPTH levels: leaves stay small at any size, and the driver's sample does not grow.
 2. Shards. A leaf is a shard. A fingerprint is stored in the leaf that holds it, and asks all other leaves that its ball
    overlaps: by the triangle inequality the left branch can be skipped if d(p, x) > m + r and the right one if
    d(p, x) <= m - r. Of two leaves only the earlier one asks, so each pair is compared in one place for each tree.
@@ -19,13 +20,17 @@ exact copies cost nothing. The search has three parts:
 Components of the links come from alternating stars over written tables.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero and links like any other; rows that
-repeat a doc_id are documents of their own with the same id; a null doc_id is never the least of its component (the id
-is null if all are); extra columns are ignored.
+repeat a doc_id are documents of their own with the same id, also where they are in several components; a null doc_id is
+never the least of its component (the id is null if all are); the longest texts are hashed whole, in pieces; an empty
+table gives no rows; near_duplicates() ignores extra columns, whatever their names, and keep_one() keeps them. keep_one()
+keeps one row of each component: that with the least id, of these with the least fingerprint and text hash, and any one
+of rows that are alike in id and text.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,13 +41,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import LOWER_BYTES, only, shared_dir, slices, stored, table, texts_of
+from skein.llm.common import LOWER_BYTES, few, join_unique, only, packed, shared_dir, slices, stored, table, texts_of
 from skein.llm.components import stars
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Bits of each block, from the highest, and the radius searched in it: (1 + 1) + (1 + 1) + (0 + 1) > 4.
 BLOCKS = ((22, 1), (22, 1), (20, 0))
-SAMPLE, LEAF_ROWS, CELL = 65_536, 2_048, 2_048
+#: Fingerprints that a tree is fitted on, rows of a leaf that are aimed at, rows of a cell's side.
+SAMPLE, LEAF_ROWS, CELL = 16_384, 2_048, 2_048
+#: Levels of trees below the first, leaves of a tree at most (its sample), rows that are routed together.
+DEPTH, LEAVES, ROUTED = 3, 1 << 16, 1 << 16
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> bytes:
@@ -65,12 +73,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for part in slices(batch):
             prints = b"".join(map(fingerprint, texts_of(part)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.frombuffer(prints, ">i8").astype(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("row"), pa.array(np.frombuffer(prints, ">i8").astype(np.int64))], ["doc_id", "row", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer."""
-    return only(docs, "doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, row, fp): a hash of the text, which tells rows with the same id apart, and the fingerprint as a signed 64-bit integer."""
+    return only(docs, "doc_id", "text").withColumn("row", F.xxhash64("text")).mapInArrow(_fingerprints, "doc_id long, row long, fp long")
 
 
 @dataclass
@@ -153,13 +161,19 @@ def masks(blocks=BLOCKS) -> list[tuple[int, int]]:
     return out
 
 
-def fit_forest(distinct: DataFrame, rows: int, radius: int = RADIUS, blocks=BLOCKS, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS) -> list[Tree]:
-    """Trees on at most `sample` fingerprints, those first in hash order: bounded, and the same at every run."""
+def fit_forest(distinct: DataFrame, rows: int, radius: int = RADIUS, blocks=BLOCKS) -> list[Tree]:
+    """Trees on at most SAMPLE fingerprints, those first in hash order: bounded, and the same at every run.
+
+    The hash's own range is cut first, so that all tasks together send hardly more than the sample to the driver.
+    """
     if sum(r + 1 for _, r in blocks) <= radius:
         raise ValueError("the blocks' radii would miss links")
-    drawn = [r[0] for r in distinct.orderBy(F.xxhash64(F.lit(1), "fp"), "fp").limit(sample).select("fp").collect()]
+    share = min(1.0, 1.1 * SAMPLE / max(1, rows))
+    order = F.xxhash64(F.lit(1), "fp")
+    low = distinct.where(order <= F.lit(int(-(2**63) + share * (2**64 - 1025))))
+    drawn = [r[0] for r in low.orderBy(order, "fp").limit(SAMPLE).select("fp").collect()]
     own = np.array(drawn, np.int64).view(np.uint64)
-    least = max(1, math.floor(leaf_rows * len(own) / max(1, rows)))
+    least = max(1, math.floor(LEAF_ROWS * len(own) / max(1, rows)))
     return [Tree.fit(own, mask, r, least) for mask, r in masks(blocks)]
 
 
@@ -179,6 +193,45 @@ def shards(distinct: DataFrame, forest: list[Tree]) -> DataFrame:
     return distinct.select("fp").mapInArrow(route, "tree int, leaf long, home boolean, fp long")
 
 
+def refined(routed: DataFrame, folder: str, blocks=BLOCKS) -> DataFrame:
+    """routed with leaves of more than 4 LEAF_ROWS stored rows dealt on, each by a tree that is fitted on a sample of it."""
+    kinds, at = masks(blocks), ["tree", "leaf"]
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        mask, radius = kinds[key[0]]
+        own = np.sort(pdf["fp"].to_numpy().view(np.uint64))[: LEAVES]
+        tree = Tree.fit(own, mask, radius, max(1, math.floor(LEAF_ROWS * len(own) / int(pdf["n"].iloc[0]))))
+        grown = [(key[0], key[1], int(pdf["every"].iloc[0]) // ROUTED + 1, pickle.dumps(tree))] if tree.leaf.max() > 0 else []
+        return pd.DataFrame(grown, columns=["tree", "leaf", "parts", "grown"])
+
+    def deal(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({"tree": pd.Series(dtype="int32"), "leaf": pd.Series(dtype="int64"), "home": pd.Series(dtype="bool"), "fp": pd.Series(dtype="int64")})
+        tree: Tree = pickle.loads(trees["grown"].iloc[0])  # written by fit() above
+        fps, stored_here, below = rows["fp"].to_numpy().view(np.uint64), rows["home"].to_numpy(), (int(rows["leaf"].iloc[0]) + 1) * LEAVES
+        home, (row, leaf) = tree.route(fps)
+        # A guest asks every leaf that its ball overlaps, a stored row those after its own.
+        later = leaf > np.where(stored_here, home, -1)[row]
+        guests, row, asks = np.flatnonzero(~stored_here), row[later], leaf[later]
+        own = np.concatenate((np.flatnonzero(stored_here), guests, row))
+        leaves = np.concatenate((home[stored_here], home[guests], asks)) + below
+        return pd.DataFrame({"tree": int(rows["tree"].iloc[0]), "leaf": leaves, "home": np.arange(len(own)) < stored_here.sum(), "fp": fps[own].view(np.int64)})
+
+    for level in range(DEPTH):
+        size = routed.groupBy(*at).agg(F.sum(F.col("home").cast("long")).alias("n"), F.count("*").alias("every")).where(F.col("n") > 4 * LEAF_ROWS)
+        size = stored(size, f"{folder}/large{level}")
+        if size.isEmpty():
+            break
+        drawn = routed.where("home").join(few(size), at).where(F.pmod(F.xxhash64(F.lit(level + 4), "fp"), F.col("n")) < SAMPLE)  # about SAMPLE a leaf
+        trees = stored(drawn.groupBy(*at).applyInPandas(fit, "tree int, leaf long, parts long, grown binary"), f"{folder}/trees{level}")
+        names = few(trees.select(*at, "parts"))
+        rows = routed.join(names, at).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "fp"), "parts")).drop("parts")
+        spread = trees.select(*at, "grown", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        dealt = rows.groupBy(*at, "part").cogroup(spread.groupBy(*at, "part")).applyInPandas(deal, "tree int, leaf long, home boolean, fp long")
+        routed = stored(routed.join(names, at, "left_anti").unionByName(dealt), f"{folder}/shards{level}")
+    return routed
+
+
 def _join_roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Unites the sets of a[i] and b[i]; afterwards each row points at the least of its set."""
     while len(a):
@@ -226,12 +279,11 @@ def links(distinct: DataFrame, folder: str, radius: int = RADIUS) -> DataFrame:
         raise ValueError("BLOCKS are made for this radius")
     spark = distinct.sparkSession
     forest = fit_forest(distinct, distinct.count(), radius)
-    routed = stored(shards(distinct, forest), f"{folder}/shards")
+    routed = refined(stored(shards(distinct, forest), f"{folder}/shards"), folder)
     # A leaf's rows are dealt into equal parts by hash: its stored rows into a, its asking rows into b parts.
     size = routed.groupBy("tree", "leaf").agg(F.sum(F.col("home").cast("long")).alias("h"), F.count("*").alias("n"))
     size = size.select("tree", "leaf", F.greatest(F.lit(1), F.ceil(F.col("h") / CELL)).alias("a"), F.ceil((F.col("n") - F.col("h")) / CELL).alias("b"))
-    bounded = size if size.count() > 200_000 else F.broadcast(size)  # a row a leaf; leaves are bounded by the sample
-    dealt = routed.join(bounded, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64(F.lit(2), "fp"), F.when(F.col("home"), F.col("a")).otherwise(F.col("b"))))
+    dealt = routed.join(few(stored(size, f"{folder}/sizes")), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64(F.lit(2), "fp"), F.when(F.col("home"), F.col("a")).otherwise(F.col("b"))))
     # Cells (i, j): stored part i against stored part j >= i, or against asking part j - a.
     home_cells = F.transform(F.sequence(F.col("part"), F.col("a") + F.col("b") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.lit(True).alias("home")))
     as_guest = F.when(F.col("part") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("part") - 1), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(False).alias("home")))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint,home:boolean>>"))
@@ -241,22 +293,34 @@ def links(distinct: DataFrame, folder: str, radius: int = RADIUS) -> DataFrame:
     return cells.groupBy("tree", "leaf", "i", "j").applyInPandas(_cell, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, row, fp) of every row, (fp, component_id, root, n) of every fingerprint, n rows with it), both written."""
     folder = shared_dir(docs.sparkSession)
     prints = stored(fingerprints(docs), f"{folder}/fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{folder}/distinct")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), f"{folder}/distinct")
     roots = stars(links(distinct, folder), f"{folder}/stars").select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    member = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(member.join(of_root, "root").select("fp", "component_id"), f"{folder}/classes")
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    member = distinct.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    member = stored(member, f"{folder}/members")
+    of_root = stored(member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")), f"{folder}/roots")
+    return prints, stored(join_unique(member, of_root, ["root"], "fps").select("fp", "component_id", "root", "n"), f"{folder}/classes")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs."""
+    prints, classes = _classes(docs)
+    return join_unique(prints, classes, ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is the least of their group; columns unchanged. Rows with a null id stay only in groups without ids."""
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of each component, columns unchanged."""
+    prints, classes = _classes(docs)
+    first = join_unique(prints, classes, ["fp"], "n").where("doc_id <=> component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp", "row")).alias("first"))
+    kept = first.select(F.coalesce("first.doc_id", F.lit(0)).alias("id"), F.col("first.doc_id").isNull().alias("none"), F.col("first.row").alias("row"))
+    key = ["id", "none", "row"]
+    kept = stored(kept, shared_dir(docs.sparkSession))
+    # Copies in every part collapse to one row of each id and text before they are sent.
+    rows = packed(docs, F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("row"))
+    return rows.dropDuplicates(key).join(kept, key, "left_semi").select("doc.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def test_matches_brute_force(spark):
             parts[int(rng.integers(60))] = "Changed"
             rows.append((len(rows), " ".join(parts)))
     rows += [(1000, ""), (1001, None), (1002, " \t\n"), (1003, "one two"), (1004, "ONE\ttwo"), (1005, "Ä B c D É"), (1006, "x " * 70_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"'own' AS {c}" for c in ("fp", "row", "doc", "root", "component_id", "id", "none")])
     assert {tuple(r) for r in S.near_duplicates(df).collect()} == brute(rows)
 
 
@@ -130,6 +130,79 @@ def test_large_shard_is_cut_into_cells(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("sample", [64, 400])
+def test_leaves_are_refined_and_no_link_is_lost(spark, monkeypatch, sample):
+    """A tiny sample and tiny leaves: trees below trees, with the links of brute force."""
+    monkeypatch.setattr(S, "SAMPLE", sample)
+    monkeypatch.setattr(S, "LEAF_ROWS", 8)
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, 700, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 7), replace=False)) for _ in range(700)], np.uint64)
+    own = np.unique(np.concatenate((base, base ^ flips)))
+    df = spark.createDataFrame(pd.DataFrame({"fp": own.view(np.int64), "least": 1}))
+    folder = S.shared_dir(spark)
+    forest = S.fit_forest(df, len(own))
+    deep = S.refined(S.stored(S.shards(df, forest), f"{folder}/shards"), folder)
+    assert (deep.where(f"home and leaf >= {S.LEAVES}").count() > 0) == (sample == 64)
+    assert deep.where("home").groupBy("tree").count().toPandas()["count"].tolist() == [len(own)] * 3
+    root = {int(x): int(x) for x in own.view(np.int64)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in S.links(df, folder + "x").collect():
+        root[find(a)] = find(b)
+    near = np.bitwise_count(own[:, None] ^ own[None]) <= 4
+    names = own.view(np.int64).tolist()
+    for i, j in zip(*np.nonzero(near)):
+        assert find(names[i]) == find(names[j])
+    groups = {find(x) for x in names}
+    todo, want = set(range(len(own))), 0
+    while todo:
+        want, stack = want + 1, [todo.pop()]
+        while stack:
+            more = set(np.flatnonzero(near[stack.pop()]).tolist()) & todo
+            todo -= more
+            stack += more
+    assert len(groups) == want
+
+
+def test_keep_one_keeps_a_row_and_not_an_id(spark):
+    a, b = "one text of some words that has copies here", "quite another thing which nobody has said before now"
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, b), (None, a), (None, "nobody gave an id to this one text"), (None, "nobody gave an id to this one text"), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "map('a', 1) AS extra", "'own' AS row", "'own' AS none", "1 AS `a.b`")
+    kept = S.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(3, a), (5, b), (None, rows[6][1]), (7, None)], key=str)
+    assert {(r["doc_id"], r["component_id"]) for r in S.near_duplicates(df).collect()} == {(3, 3), (5, 3), (5, 5), (9, 5), (None, 3), (None, None), (7, 7), (8, 7)}
+
+
+def test_many_copies_of_one_text(spark):
+    rows = [(k, "the same text for every second document" if k % 2 else f"text {k} " + " ".join(str(k * j) for j in range(9))) for k in range(400)]
+    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == 1 for k in range(1, 400, 2)) and len(got) == 400
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster():
+    class Conf(dict):
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        S.shared_dir(Session())
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert S.near_duplicates(df).collect() == []
