@@ -9,10 +9,13 @@ Viterbi runs over all texts of a chunk at once: texts are cut into segments, eve
 that could precede it, and segments are then chained: the exact best path, in a few hundred vector steps.
 
 The model is learned from at most TRAIN_ROWS labelled rows, the first in hash order of those that are not held out;
-its size is languages x BUCKETS. Predictions use the text alone.
+its size, and that of the counts that reach the driver, is languages x BUCKETS, so of such rows alone. Predictions use
+the text alone.
 
 Defined cases: null text and text without a letter is `und` with score 0, as is everything if nothing can be learned;
-ties go to the language first in order; a null doc_id is never trained on nor held out; extra columns are ignored.
+ties go to the language first in order; a null doc_id is never trained on nor held out; rows that repeat a doc_id are
+learned from and predicted each; the longest texts are read whole; an empty table gives a model without languages and
+no predictions; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +45,8 @@ SCRIPTS = (
 )
 SCRIPT_NAMES = sorted({s for _, _, s in SCRIPTS}) + ["other"]
 WORD = re.compile(r"[^\W\d_]+")
-MEMORY_WORDS = 300_000
+#: Words that are remembered, and cells of scores (words x languages) that are.
+MEMORY_WORDS, MEMORY_CELLS = 300_000, 1 << 25
 
 
 def script_of(word: str) -> int:
@@ -70,6 +74,11 @@ class Model:
     scripts: np.ndarray  # scripts x languages, whether the language uses the script
 
     def score(self, words: list[str]) -> np.ndarray:
+        """Of each word and language, the best one's being 0; so many words at once that memory is bounded."""
+        step = max(1, MEMORY_CELLS // (16 * max(1, len(self.languages))))
+        return np.concatenate([self._score(words[k : k + step]) for k in range(0, len(words), step)])
+
+    def _score(self, words: list[str]) -> np.ndarray:
         buckets, begins = trigrams(words)
         scores = np.add.reduceat(self.weights[buckets], begins, axis=0)
         used = self.scripts[[script_of(w) for w in words]]
@@ -109,11 +118,17 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(languages, weights.astype(np.float32), used)
 
 
-def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY, segment: int = SEGMENT) -> np.ndarray:
-    """The best label of each row of scores, for sequences of the given lengths that follow each other."""
+def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY, segment: int | None = None) -> np.ndarray:
+    """The best label of each row of scores, for sequences of the given lengths that follow each other.
+
+    Memory is a few numbers a cell of scores, whatever the number of labels: the first pass over the segments keeps only
+    what each one leads to from every label before it; when segments are chained, that label is known, and the second
+    pass remembers one step back for each row and label.
+    """
     n, width = scores.shape
     if not n:
         return np.zeros(0, np.int64)
+    segment = segment or max(SEGMENT, width * width // 32)
     lengths = lengths[lengths > 0]
     per = -(-lengths // segment)
     doc_begin = np.cumsum(lengths) - lengths
@@ -122,28 +137,22 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY, s
     size = np.minimum(segment, np.repeat(lengths, per) - number * segment)
     order = np.argsort(-size, kind="stable")
     b, s = begin[order], size[order]
-    # value[segment, language before, language]: the best path within the segment that ends in the language.
-    moves = penalty * (1 - np.eye(width, dtype=np.float32))
+    alive = [int(np.searchsorted(-s, -t, "left")) for t in range(int(s[0]))]
+    # ends[segment, label before, label]: the best path within the segment that ends in the label.
+    moves = (penalty * (1 - np.eye(width))).astype(scores.dtype)
     value = scores[b][:, None, :] - moves[None]
-    stays, best = np.ones((n, width, width), bool), np.zeros((n, width), np.int8)
     for t in range(1, int(s[0])):
-        k = int(np.searchsorted(-s, -t, "left"))
-        own, rows = value[:k], b[:k] + t
-        top = own.argmax(axis=2)
-        jump = np.take_along_axis(own, top[:, :, None], axis=2) - np.float32(penalty)
-        stay = own >= jump
-        value[:k] = np.where(stay, own, jump) + scores[rows][:, None, :]
-        stays[rows], best[rows] = stay, top
+        own = value[: alive[t]]
+        np.maximum(own, own.max(axis=2, keepdims=True) - own.dtype.type(penalty), out=own)
+        own += scores[b[: alive[t]] + t][:, None, :]
     ends = np.empty_like(value)
     ends[order] = value
-    # Chain the segments of each text; the first one has no language before it.
+    # Chain the segments of each text. Nothing precedes the first one: to be preceded by its own first label is free.
     first_of = np.cumsum(per) - per
-    before = np.zeros((len(number), width), np.int8)
+    before = np.zeros((len(number), width), np.int32)
     by_count = np.argsort(-per, kind="stable")
-    total = np.max(ends[first_of] + moves.diagonal(), axis=1)
-    # Nothing precedes the first segment: being preceded by its own first language costs nothing, so take the best.
     before[first_of] = ends[first_of].argmax(axis=1)
-    state = total[by_count]
+    state = ends[first_of].max(axis=1)[by_count]
     for j in range(1, int(per.max())):
         k = int(np.searchsorted(-per[by_count], -j, "left"))
         seg = first_of[by_count[:k]] + j
@@ -158,14 +167,20 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY, s
         label_at_end[seg] = now[:k]
         label_before[seg] = before[seg, now[:k]]
         now[:k] = label_before[seg]
-    # Back through all segments at once.
-    out, at, lane = np.zeros(n, np.int64), label_at_end[order], label_before[order]
+    # All segments once more, each from its label before, and back.
+    value = scores[b] - moves[label_before[order]]
+    stays, best = np.ones((n, width), bool), np.zeros(n, np.int32)
+    for t in range(1, int(s[0])):
+        own, rows = value[: alive[t]], b[: alive[t]] + t
+        best[rows] = own.argmax(axis=1)
+        jump = own.max(axis=1, keepdims=True) - own.dtype.type(penalty)
+        stays[rows] = own >= jump
+        value[: alive[t]] = np.maximum(own, jump) + scores[rows]
+    out, at = np.zeros(n, np.int64), label_at_end[order]
     for t in range(int(s[0]) - 1, -1, -1):
-        k = int(np.searchsorted(-s, -t, "left"))
-        rows = b[:k] + t
-        out[rows] = at[:k]
-        if t:
-            at[:k] = np.where(stays[rows, lane[:k], at[:k]], at[:k], best[rows, lane[:k]])
+        rows = b[: alive[t]] + t
+        out[rows] = at[: alive[t]]
+        at[: alive[t]] = np.where(stays[rows, at[: alive[t]]], at[: alive[t]], best[rows])
     return out
 
 
@@ -174,26 +189,32 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model = model
+        self.most = max(1_000, min(MEMORY_WORDS, MEMORY_CELLS // max(1, len(model.languages))))
         self.forget()
 
     def forget(self) -> None:
         self.codes: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.model.languages)), np.float32)
-        self.letters = np.zeros(0, np.int64)
+        self.scripts, self.letters = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def label(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language of each word, letters of each word, words of each text); the words are in lower case."""
-        if len(self.codes) > MEMORY_WORDS:
+        if len(self.codes) > self.most:
             self.forget()
         fresh = sorted(set().union(*texts).difference(self.codes))
         if fresh:
             self.codes.update(zip(fresh, range(len(self.codes), len(self.codes) + len(fresh))))
             self.scores = np.concatenate((self.scores, self.model.score(fresh)))
+            self.scripts = np.concatenate((self.scripts, np.array([script_of(w) for w in fresh], np.int64)))
             # A "word" may consist of number signs alone; only letters count.
             self.letters = np.concatenate((self.letters, [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in fresh]))
         lengths = np.array([len(x) for x in texts], np.int64)
         own = np.fromiter((c for x in texts for c in map(self.codes.__getitem__, x)), np.int64, int(lengths.sum()))
-        return viterbi(self.scores[own], lengths), self.letters[own], lengths
+        # Languages that use none of the scripts at hand cannot win; the first one stays for words of nobody's script.
+        may = self.model.scripts[np.bincount(self.scripts[own], minlength=len(SCRIPT_NAMES)) > 0].any(axis=0)
+        may[:1] = True
+        columns = np.flatnonzero(may)
+        return columns[viterbi(self.scores[:, columns][own], lengths)], self.letters[own], lengths
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -228,10 +249,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_spans long")
 
 
-def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose language is not `und`, or that have a letter if no language was learned; columns unchanged.
+def identified(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
+    """The rows of docs in a learned language, columns unchanged; one pass, no shuffle.
 
-    One pass, no shuffle.
+    Those go whose language is `und`, and those of whose letters no language has a share of at least `least`. If no
+    language was learned, all rows with a letter stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS
 
@@ -241,7 +263,8 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, 512):
                 texts = texts_of(part)
                 if shared.value.languages:
-                    yield part.filter(pa.compute.not_equal(_predictions(labeller, texts)["lang_pred"], "und"))
+                    made = _predictions(labeller, texts)
+                    yield part.filter(pa.compute.and_(pa.compute.not_equal(made["lang_pred"], "und"), pa.compute.greater_equal(made["score"], least)))
                 else:
                     yield part.filter(pa.array([any(map(str.isalpha, t)) for t in texts], pa.bool_()))
 
