@@ -9,7 +9,8 @@ DataFrame functions only. A conversation is one group by its nature: its formatt
 
 Defined cases: null text is empty; null role is empty; turns are ordered by turn (nulls first), then role, then text;
 repeated rows are turns of their own; rows with a null conv_id form one conversation; conversations whose order the
-machine refuses are formatted all the same, with valid = false and the refusing turn's number; extra columns are ignored.
+machine refuses are formatted all the same, with valid = false and the refusing turn's number; the longest texts are
+formatted whole; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,9 +37,19 @@ class Template:
     loss_roles: tuple[str, ...] = ("assistant",)
     #: state -> roles that may come next; a role is the next state.
     moves: dict[str, tuple[str, ...]] = field(default_factory=lambda: {START: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
-    #: Replaced in this order inside bodies and roles, undone in reverse. Every control string begins with "<|".
+    #: Replaced in this order inside bodies and roles, undone in reverse. The first one frees the sign that all
+    #: replacements begin with; what the others replace stands in every control string.
     escapes: tuple[tuple[str, str], ...] = (("&", "&amp;"), ("<|", "&lt;|"))
 
+    def __post_init__(self) -> None:
+        (sign, own), *others = self.escapes
+        if len(sign) != 1 or not all(new.startswith(sign) for _, new in self.escapes) or any(old in own or sign in old for old, _ in others):
+            raise ValueError("the first escape must free the sign that all escapes begin with")
+        if not all(any(old in control for old, _ in others) for control in (self.opening, self.closing)):
+            raise ValueError("a control string holds nothing that is escaped inside texts")
+        if not self.after_role or sign in self.after_role:
+            raise ValueError("the end of a role must be findable")
+
 
 CHATML = Template()
 
