@@ -2,8 +2,10 @@ import hashlib
 import zlib
 
 import numpy as np
-from hypothesis import given
+import pytest
+from hypothesis import example, given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skein.llm import bpe, token_counts, token_files
@@ -22,6 +24,7 @@ def frame(spark, rows=ROWS):
 
 
 @given(st.lists(st.text(alphabet=st.characters(exclude_categories=["Cs"]) | st.sampled_from("abct 's'nÉß<|>endoftext12"), max_size=60), max_size=5))
+@example([":\U0003d000", "a\u0345\u03a3 \u1c89\U0001e6c0"])
 def test_encoder_is_the_librarys(texts):
     own = bpe.encoder(bpe.default_path())
     want = [library_().encode(t, add_special_tokens=False).ids for t in texts]
@@ -83,7 +86,7 @@ def test_repair_leaves_no_frequent_pair():
     last = np.zeros(len(ids), bool)
     last[[99, 5_000, len(ids) - 1]] = True
     symbols, ends, rules, _ = token_files.repair(ids, last, 50_000)
-    assert (token_files.expand(symbols, rules, 50_000) == ids).all() and ends.sum() == 3 and len(rules) < token_files.MOST_RULES
+    assert (token_files.expand(symbols, rules, 50_000) == ids).all() and ends.sum() == 3
     counts, overlaps = {}, False
     for a, b, c, end in zip([None, *symbols[:-2].tolist()], symbols[:-1].tolist(), symbols[1:].tolist(), ends[:-1].tolist()):
         overlaps = a == b == c and not end and not overlaps
@@ -96,12 +99,54 @@ def test_token_files(spark, monkeypatch):
     rows = [(7, "b"), (3, "a"), (3, None), (None, "z"), *[(k, t) for k, t in enumerate(ODD, 10)]]
     got = sorted(map(tuple, token_files.read(token_files.write(frame(spark, rows), shared_dir(spark))).collect()), key=lambda r: r[1])
     start, want = 0, []
-    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, len(r[1] or ""), r[1] or "")):
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, -1 if r[1] is None else len(r[1]))):
         ids = np.array([*library_().encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert got == want
     assert token_files.read(token_files.write(frame(spark, []), shared_dir(spark))).collect() == []
+    # The library with every whole text writes the same ids; small blocks and files, which are begun anew, hold them too.
+    whole = token_files.read(token_files.write(frame(spark, rows), shared_dir(spark), whole=True))
+    assert sorted(map(tuple, whole.collect()), key=lambda r: r[1]) == want
+
+
+def test_files_are_begun_anew(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 40)
+    ids = [np.array([k, k + 1, 7, 1] * 15, np.uint32) for k in range(5)]
+    with token_files.files.writing(f"file://{tmp_path}") as (path, out):
+        for k in range(0, 5, 2):
+            out.write(token_files.pack(list(range(k, min(5, k + 2))), ids[k : k + 2], 50))
+    found = list(token_files.blocks(path))
+    assert [b.doc_ids for b in found] == [[0, 1], [2, 3], [4]]
+    assert all((b.document(k - b.doc_ids[0]) == ids[k]).all() for b in found for k in b.doc_ids)
+    broken = bytearray(token_files.files.read(path))
+    broken[100] ^= 1
+    with pytest.raises(ValueError):
+        token_files.Block(bytes(broken))
+
+
+def test_rules_are_not_capped():
+    """More rules than two bytes hold: symbols take three."""
+    rng = np.random.default_rng(5)
+    pairs = np.stack([np.arange(22_000), np.arange(22_000, 44_000)], axis=1)
+    ids = np.concatenate([pairs[rng.permutation(22_000)].ravel() for _ in range(13)]).astype(np.uint32)
+    block = token_files.Block(token_files.pack([1], [ids], 49_408))
+    assert len(block.rules) >= 22_000 and (block.document(0) == ids).all() and (block.span(5, 999) == ids[5:999]).all()
+
+
+@given(st.lists(st.text(alphabet=st.characters(exclude_categories=["Cs"]) | st.sampled_from("abct 's'n\u00c9\u00df<|>endoftext12\u0130\u024f\u0307"), max_size=60), max_size=5))
+def test_words_make_the_ids_of_whole_texts(texts):
+    path = bpe.default_path()
+    for a, b in zip(token_files._library(path)(texts), token_files._library(path, True)(texts), strict=True):
+        assert a.tolist() == b.tolist()
+
+
+def test_simple_characters_one_by_one():
+    """Every character that may stand in a text split here, between letters, digits and signs."""
+    path = bpe.default_path()
+    texts = [f"a{c}b 1{c}2 {c}'s {c}{c} ,{c}." for c in map(chr, range(0x250))]
+    for t, a, b in zip(texts, token_files._library(path)(texts), token_files._library(path, True)(texts), strict=True):
+        assert a.tolist() == b.tolist(), t
 
 
 def test_token_counts(spark, monkeypatch):
@@ -114,6 +159,18 @@ def test_token_counts(spark, monkeypatch):
         assert len(got) == len(ROWS)
 
 
+def test_token_counts_query(spark, tmp_path):
+    """op6 itself: every row, whatever its text, and an empty table."""
+    own = library()
+    own.encode_special_tokens = True
+    rows = [*ROWS, (None, "no id"), (3, "again"), (3, "again")]
+    frame(spark, rows).withColumn("k", F.lit("clash")).withColumn("path", F.lit("clash")).write.parquet(f"{tmp_path}/a/documents.parquet")
+    frame(spark, []).write.parquet(f"{tmp_path}/b/documents.parquet")
+    want = [(d, len(own.encode(t or "", add_special_tokens=False).ids)) for d, t in rows]
+    assert sorted(map(tuple, token_counts.op6_token_counts(spark, f"{tmp_path}/a").collect()), key=str) == sorted(want, key=str)
+    assert token_counts.op6_token_counts(spark, f"{tmp_path}/b").collect() == []
+
+
 def test_token_counts_without_a_last_end(spark, tmp_path):
     ids = np.array([5, 9, 9, 6, 7, 9, 8, 8, 8], "<u2")
     (tmp_path / "a.bin").write_bytes(ids.tobytes())
