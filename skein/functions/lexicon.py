@@ -61,6 +61,65 @@ MENTAL = [
 ]
 
 
+# fixed values: why something that an extractor said is dropped
+DROP_REASONS = {
+    "no_shape": "not an object with an entities array",
+    "no_name": "no name",
+    "protagonist": "protagonist is never given a card",
+    "no_source": "no cited messages (no provenance)",
+    "agency": "asserts protagonist thoughts/feelings/choices",
+    "no_quote": "evidence quote not found in cited messages",
+    "bond_agency": "protagonist feelings/choices",
+    "not_explicit": "romantic relationship not explicitly established",
+    "bond_no_quote": "relationship evidence not found",
+    "unknown_fact": "unknown fact id",
+    "update_no_quote": "evidence not found",
+}
+
+# fixed values: titles of a card's uncertain parts
+UNCERTAIN = (("rumor", "Rumors (unverified)"), ("claim", "Claims (may be false)"), ("plan", "Plans (not yet done)"), ("unresolved", "Unresolved"))
+
+# fixed values: the members of an entry in the target besides those that are managed, as JSON text
+ENTRY = {
+    "keysecondary": "[]",
+    "constant": "false",
+    "vectorized": "false",
+    "selective": "true",
+    "selectiveLogic": "0",
+    "addMemo": "true",
+    "order": "100",
+    "position": "0",
+    "ignoreBudget": "false",
+    "excludeRecursion": "false",
+    "preventRecursion": "false",
+    "matchPersonaDescription": "false",
+    "matchCharacterDescription": "false",
+    "matchCharacterPersonality": "false",
+    "matchCharacterDepthPrompt": "false",
+    "matchScenario": "false",
+    "matchCreatorNotes": "false",
+    "delayUntilRecursion": "0",
+    "probability": "100",
+    "useProbability": "true",
+    "depth": "4",
+    "outletName": '""',
+    "group": '""',
+    "groupOverride": "false",
+    "groupWeight": "100",
+    "scanDepth": "null",
+    "caseSensitive": "null",
+    "matchWholeWords": "null",
+    "useGroupScoring": "null",
+    "automationId": '""',
+    "role": "0",
+    "sticky": "null",
+    "cooldown": "null",
+    "delay": "null",
+    "triggers": "[]",
+    "characterFilter": '{"isExclude":false,"names":[],"tags":[]}',
+}
+
+
 def whole_words(words: list[str]) -> str:
     """A pattern for any of these as whole words, in Java, Python and RE2 syntax alike (ASCII word characters)."""
     return "(?:" + "|".join(words) + ")"

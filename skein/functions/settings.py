@@ -66,3 +66,8 @@ def merge_settings(saved: dict[str, Any] | None) -> Settings:
     for kind, given in (saved.pop("type_rules", None) or {}).items():
         rules[kind] = replace(rules.get(kind, TypeRule()), **(given if isinstance(given, dict) else vars(given)))
     return replace(Settings(), type_rules=rules, **{k: tuple(v) if isinstance(v, list) else v for k, v in saved.items() if k in known})
+
+
+def members(settings: Settings) -> list[tuple[str, str, Any]]:
+    """(name, kind, value) of every member, as a form needs them."""
+    return [(f.name, str(f.type), getattr(settings, f.name)) for f in fields(settings)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -36,26 +37,68 @@ def signature(is_user: Column | str, text: Column | str) -> Column:
     return F.md5(F.concat(F.when(col(is_user), "u|").otherwise("a|"), collapse(text)))
 
 
+def _decomposed(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not "\u0300" <= x <= "\u036f")
+
+
 @lru_cache(maxsize=1)
 def plain_letters() -> tuple[str, str]:
     """Characters whose compatibility decomposition without accents is one character, and that character."""
-    pairs = []
-    for c in map(chr, range(0xA0, 0x10000)):
-        if "\uac00" <= c <= "\ud7a3" or "\ud800" <= c <= "\udfff":
-            continue
-        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not "\u0300" <= x <= "\u036f")
-        if len(bare) == 1 and bare != c:
-            pairs.append((c, bare))
+    every = (chr(c) for c in range(0xA0, 0x30000) if not 0xAC00 <= c <= 0xD7A3 and not 0xD800 <= c <= 0xDFFF)
+    pairs = [(c, bare) for c in every if len(bare := _decomposed(c)) == 1 and bare != c]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+@lru_cache(maxsize=1)
+def ligatures() -> str:
+    """A pattern for the characters that decompose into several, as ranges of code points."""
+    own = [c for c in range(0xA0, 0x30000) if not 0xD800 <= c <= 0xDFFF and len(_decomposed(chr(c))) > 1]
+    first = [c for c, before in zip(own, [-9, *own]) if c != before + 1]
+    last = [c for c, after in zip(own, [*own[1:], -9]) if c != after - 1]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(first, last)) + "]"
+
+
+# fixed values: letters with a stroke, which have no decomposition though the JVM's library drops the stroke
+STROKES = "\u0110\u0111\u0141\u0142\u0166\u0167\u0197\u0244\u0268\u0289\u1d7b\u1d7e"
+KEPT_STROKES = "".join(chr(0xE000 + k) for k in range(len(STROKES)))
+
+
+def decomposed(x: Column | str) -> Column:
+    """The compatibility decomposition without accents; only texts with a ligature or the like leave generated code."""
+    single = F.translate(text_of(x), *plain_letters())
+    whole = F.call_function("java_method", F.lit("org.apache.commons.lang3.StringUtils"), F.lit("stripAccents"), F.translate(single, STROKES, KEPT_STROKES))
+    return F.regexp_replace(F.when(single.rlike(ligatures()), F.translate(whole, KEPT_STROKES, STROKES)).otherwise(single), "[\u0300-\u036f]", "")
+
+
 def norm(x: Column | str) -> Column:
-    """Lower case, no accents, no punctuation, single spaces (C2). Characters that decompose into several stay as they are."""
-    bare = F.regexp_replace(F.translate(text_of(x), *plain_letters()), "[\u0300-\u036f]", "")
-    kept = F.regexp_replace(F.regexp_replace(F.lower(bare), APOSTROPHES, ""), r"(?U)[^\p{L}\p{N}\s]", " ")
+    """Lower case, no accents, no punctuation, single spaces (C2); the same as the rule in Python."""
+    kept = F.regexp_replace(F.regexp_replace(F.lower(decomposed(x)), APOSTROPHES, ""), r"(?U)[^\p{L}\p{N}\s]", " ")
     return F.trim(F.regexp_replace(kept, r"(?U)\s+", " "))
 
 
+def hash53(x: Column | str) -> Column:
+    """The 53-bit hash of older ledgers in base 36, for their ids (C1): two 32-bit lanes over UTF-16 units, then mixed."""
+
+    def times(v: Column, k: int) -> Column:
+        """v * k modulo 2^32 without overflow: k in halves."""
+        return ((v * (k >> 16)).bitwiseAND(0xFFFF) * 65_536 + v * (k & 0xFFFF)).bitwiseAND(0xFFFFFFFF)
+
+    def lane(seed: int, k: int) -> Column:
+        return F.aggregate(units, F.lit(seed).cast("long"), lambda v, c: times(v.bitwiseXOR(c), k))
+
+    def stirred(a: Column, b: Column) -> Column:
+        return times(a.bitwiseXOR(F.shiftright(a, 16)), 2246822507).bitwiseXOR(times(b.bitwiseXOR(F.shiftright(b, 13)), 3266489909))
+
+    codes = F.transform(F.split(text_of(x), ""), lambda c: F.ascii(c).cast("long"))
+    pair = lambda c: F.when(c < 0x10000, F.array(c)).otherwise(F.array(F.shiftright(c - 0x10000, 10) + 0xD800, (c - 0x10000).bitwiseAND(0x3FF) + 0xDC00))
+    units = F.flatten(F.transform(F.filter(codes, lambda c: c > 0), pair))
+    # fixed values: seeds and multipliers of the older format
+    one, two = lane(0xDEADBEEF, 2654435761), lane(0x41C6CE57, 1597334677)
+    low = stirred(one, two)
+    high = stirred(two, low)
+    return F.lower(F.conv((high.bitwiseAND(2097151) * 4294967296 + low).cast("string"), 10, 36))
+
+
 def words_of(normed: Column) -> Column:
     return F.filter(F.split(normed, " "), lambda t: t != "")
 
@@ -84,21 +127,30 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(least, F.lit(1)))
 
 
-def bigrams(normed: Column) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once: what a lambda refers to by its expression is made anew for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def bigrams(normed: Column | str) -> Column:
     """Character pairs of a normalised text with a space at either end, repeats kept."""
-    padded = F.concat(F.lit(" "), normed, F.lit(" "))
-    return F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substr(padded, i, F.lit(2)))
+    padded = F.concat(F.lit(" "), col(normed), F.lit(" "))
+    return let(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 1), lambda i: F.substr(p, i, F.lit(2))))
 
 
 def counted(array: Column) -> Column:
     """Elements made distinct by their occurrence number: multiset operations become set operations."""
-    ordered = F.array_sort(array)
-    return F.transform(ordered, lambda x, i: F.struct(x.alias("v"), (i - F.array_position(ordered, x)).alias("k")))
+    return let(F.array_sort(array), lambda ordered: F.transform(ordered, lambda x, i: F.struct(x.alias("v"), (i - F.array_position(ordered, x)).alias("k"))))
 
 
 def dice(a: Column | str, b: Column | str) -> Column:
     """Sørensen–Dice similarity of bigram multisets."""
-    na, nb = norm(a), norm(b)
+    return dice_of(norm(a), norm(b))
+
+
+def dice_of(a: Column | str, b: Column | str) -> Column:
+    """dice() of texts that are normalised already."""
+    na, nb = col(a), col(b)
     ga, gb = bigrams(na), bigrams(nb)
     share = 2.0 * F.size(F.array_intersect(counted(ga), counted(gb))) / (F.size(ga) + F.size(gb))
     return F.when((na == "") | (nb == ""), 0.0).when(na == nb, 1.0).otherwise(share)

@@ -1,5 +1,7 @@
 """The rules in Python and on columns agree; the fold's policies; the validators' edge cases."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,12 +18,39 @@ def test_columns_and_python_agree(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
     rows = df.select("t", X.norm("t").alias("n"), X.slug("t").alias("s"), X.sanitize_key("t").alias("k"), X.core_tokens("t").alias("c"), X.dice("t", F.lit("Elena herbalist")).alias("d")).collect()
     for r in rows:
-        if r["t"] and "ﬁ" in r["t"]:
-            continue  # characters that decompose into several are left to the Python rule
         assert (r["n"], r["s"], r["k"]) == (P.norm(r["t"]), P.slug(r["t"] or ""), P.sanitize_key(r["t"]))
         assert r["c"] == P.core(r["t"] or "") and r["d"] == pytest.approx(P.dice(P.norm(r["t"]), "elena herbalist"))
 
 
+def test_one_norm_for_every_character(spark):
+    """Between letters, every character that this Python and the JVM both know the kind of; and the ids made of them."""
+    codes = [c for c in range(0x20, 0x30000) if not 0xD800 <= c <= 0xDFFF and not 0xE000 <= c <= 0xF8FF]
+    df = spark.createDataFrame([(chr(c),) for c in codes], "c string").withColumn("t", F.concat(F.lit("x"), "c", F.lit("y ")))
+    letter = F.col("c").rlike(r"^[\p{L}\p{N}]$")
+    rows = df.select("c", X.norm("t").alias("n"), X.fact_id(F.lit("e"), "t").alias("f"), letter.alias("known")).collect()
+    both = lambda r: unicodedata.category(r["c"]) != "Cn" and r["known"] == (unicodedata.category(r["c"])[0] in "LN")
+    odd = [r["c"] for r in rows if r["n"] != P.norm(f"x{r['c']}y ") and both(r)]
+    assert odd == []
+    assert all(r["f"] == P.fact_id("e", f"x{r['c']}y ") for r in rows if r["n"] == P.norm(f"x{r['c']}y "))
+    assert spark.createDataFrame([("owns ½ of the ﬁne mill 가 Ł",)], "t string").select(X.norm("t")).first()[0] == P.norm("owns ½ of the ﬁne mill 가 Ł")
+
+
+def test_hash53(spark):
+    def rule(text):
+        data = text.encode("utf-16-le", "surrogatepass")
+        a, b, mask = 0xDEADBEEF, 0x41C6CE57, (1 << 32) - 1
+        for k in range(0, len(data), 2):
+            unit = int.from_bytes(data[k : k + 2], "little")
+            a, b = (a ^ unit) * 2654435761 & mask, (b ^ unit) * 1597334677 & mask
+        a = ((a ^ a >> 16) * 2246822507 ^ (b ^ b >> 13) * 3266489909) & mask
+        b = ((b ^ b >> 16) * 2246822507 ^ (a ^ a >> 13) * 3266489909) & mask
+        return (b & 2097151) * 4294967296 + a
+
+    texts = ["", "a", "hello", "Ünï 𝄞 中文", "x" * 500]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.hash53("t")).collect()]
+    assert [int(g, 36) for g in got] == [rule(t) for t in texts]
+
+
 def test_tolerant_json(spark):
     raw = ['```json\n{"entities": [1]}\n```', 'Sure! {"entities": [1, 2,],} ok', "[1]", "no json", "", None]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "raw string").select(F.to_json(X.tolerant_json("raw"))).collect()]
