@@ -45,6 +45,11 @@ def batches(rows: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("batch", F.floor(rank / size).cast("long"))
 
 
+def limited(batched: DataFrame, calls: int) -> DataFrame:
+    """The first batches of each chat, so many at most (Q10)."""
+    return batched.where(F.col("batch") < calls)
+
+
 def with_context(chain: DataFrame, batched: DataFrame, context: int) -> DataFrame:
     """Batches with the messages just before their first one, numbered from 1 (B9, B10): adds batch, is_context and n."""
     first = batched.groupBy("chat_id", "batch").agg(F.min("pos").alias("first"))
@@ -56,12 +61,13 @@ def with_context(chain: DataFrame, batched: DataFrame, context: int) -> DataFram
     return rows.withColumn("n", number)
 
 
-def windows(messages: DataFrame, scanned: DataFrame, settings: Settings, forced: bool = False) -> DataFrame:
-    """All that the extractor is to read next, batch by batch."""
+def windows(messages: DataFrame, scanned: DataFrame, settings: Settings, forced: bool = False, calls: int | None = None) -> DataFrame:
+    """All that the extractor is to read next, batch by batch, in so many calls a chat at most."""
     chain = build_chain(messages)
     todo = unscanned(settled(chain, 0 if forced else settings.settle_lag), scanned)
     ready = todo.join(due(todo, settings.extract_every, forced).select("chat_id"), "chat_id", "left_semi").select(todo.columns)
-    return with_context(chain, batches(ready, settings.window_max), settings.context_msgs)
+    batched = batches(ready, settings.window_max)
+    return with_context(chain, batched if calls is None else limited(batched, calls), settings.context_msgs)
 
 
 def alive(observations: DataFrame, where: DataFrame) -> DataFrame:

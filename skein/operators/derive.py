@@ -68,12 +68,73 @@ def episode_counts(places: DataFrame, keys: list[str], gap: int) -> DataFrame:
     )
 
 
+def rule_of(settings: Settings, kind: Column, member: str) -> Column:
+    """A member of a type's rule, of the rule for other types if it has none."""
+    known = F.create_map(*[F.lit(x) for name, r in settings.type_rules.items() for x in (name, getattr(r, member))])
+    return F.coalesce(F.try_element_at(known, kind), F.lit(getattr(settings.rule("other"), member)))
+
+
+def rollup(seen: DataFrame, keys: list[str], at: str = "at") -> DataFrame:
+    """Live observations of each entity: how many, from where to where, importance and confidence."""
+    return seen.groupBy(*keys).agg(
+        F.count("*").alias("live_obs"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.max("importance").alias("imp_max"),
+        F.avg("importance").alias("imp_avg"), F.max("confidence").alias("conf_max"), F.avg("confidence").alias("conf_avg"),
+    )
+
+
+def redirected(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """rows with the entities that merged ones lead to."""
+    return rows.join(merge_redirect(state), ["chat_id", "entity_id"], "left").withColumn("entity_id", F.coalesce("target", "entity_id")).drop("target")
+
+
+def fact_rows(seen: DataFrame, where: DataFrame) -> DataFrame:
+    """The live facts of live observations, one a row with its id and chain position."""
+    at = ["chat_id", "entity_id", "obs_id", "at"]
+    facts = seen.select(*at, F.posexplode("facts").alias("ord", "f")).select(*at, "ord", "f.*").where("size(sigs) > 0")
+    return C.all_alive(facts, ["obs_id", "ord"], where).withColumn("fact_id", X.fact_id("entity_id", "text"))
+
+
+def update_rows(live: DataFrame, where: DataFrame) -> DataFrame:
+    """The live status updates of live observations."""
+    updates = live.where("how = 'update'").select("chat_id", "obs_id", "at", F.posexplode("updates").alias("ord", "u"))
+    updates = updates.select("chat_id", "obs_id", "at", "ord", "u.ref", "u.to", "u.sigs").where("size(sigs) > 0")
+    return C.all_alive(updates, ["obs_id", "ord"], where).drop("sigs")
+
+
+def user_state(state: DataFrame) -> DataFrame:
+    """What users set for an entity, under names of its own."""
+    return state.select("chat_id", "entity_id", F.col("status").alias("user_status"), F.col("name").alias("user_name"), F.col("type").alias("user_type"), "lock", "protected", "keep")
+
+
+def with_static(entities: DataFrame, statics: DataFrame) -> DataFrame:
+    """entities with the name, keys and words of the static entry they refer to."""
+    static = statics.select("chat_id", "static_id", F.col("name").alias("static_name"), F.col("keys").alias("static_keys"), X.content_tokens("content").alias("static_words"))
+    return entities.join(static, ["chat_id", "static_id"], "left")
+
+
+def marked_static(facts: DataFrame, entities: DataFrame) -> DataFrame:
+    """facts, with those that the static entry of their entity says already in state `in-static` (K8)."""
+    words = X.content_tokens("text")
+    covered = (F.col("state") == "active") & (F.size("static_words") > 0) & (F.size(words) >= 2) & (X.containment(words, F.col("static_words")) >= 0.85)
+    met = facts.join(entities.select("chat_id", "entity_id", "static_words"), ["chat_id", "entity_id"], "left")
+    return met.withColumn("state", F.when(F.coalesce(covered, F.lit(False)), "in-static").otherwise(F.col("state"))).drop("static_words")
+
+
+def renderable(facts: DataFrame) -> DataFrame:
+    """The facts that are shown: active ones, open conflicts, and disputed ones."""
+    return facts.where("state in ('active', 'conflict') or disputed")
+
+
+def with_content(entities: DataFrame, facts: DataFrame) -> DataFrame:
+    """entities with has_content: whether any fact is active."""
+    key = ["chat_id", "entity_id"]
+    content = facts.groupBy(*key).agg(F.bool_or(F.col("state") == "active").alias("has_content"))
+    return entities.join(content, key, "left").withColumn("has_content", F.coalesce("has_content", F.lit(False)))
+
+
 def classify(settings: Settings) -> tuple[Column, Column]:
     """(state, reason) from the columns of a rolled-up entity: the first rule that fires (K9)."""
-    rules = [F.lit(x) for kind, r in settings.type_rules.items() for x in (kind,)]
-    pick = lambda attr: F.create_map(*[x for name, (kind, r) in zip(rules, settings.type_rules.items()) for x in (name, F.lit(getattr(r, attr)))])
-    other = settings.rule("other")
-    on, times, least = (F.coalesce(F.try_element_at(pick(a), F.col("type")), F.lit(getattr(other, a))) for a in ("on", "min_appearances", "min_importance"))
+    on, times, least = (rule_of(settings, F.col("type"), member) for member in ("on", "min_appearances", "min_importance"))
     floor = F.greatest(F.lit(float(settings.min_importance)), least.cast("double"))
     instant = F.col("imp_max") >= settings.instant_importance
     recurring = (F.col("episodes") >= times) | (F.col("appear") >= settings.long_episode_msgs)
@@ -107,28 +168,17 @@ def derive(spark: SparkSession, observations: DataFrame, messages_chain: DataFra
     key = ["chat_id", "entity_id"]
     where = C.positions(messages_chain)
     live = observations.join(C.alive(observations, where), ["chat_id", "obs_id"])
-    moved = live.join(merge_redirect(state), key, "left").withColumn("entity_id", F.coalesce("target", "entity_id")).drop("target")
-    moved = cut(moved)
+    moved = cut(redirected(live, state))
     seen = moved.where("how <> 'update'").withColumn("type", F.coalesce(F.when(F.col("type") != "", F.col("type")), F.lit("other")))
-
-    facts = seen.select(*key, "obs_id", "at", F.posexplode("facts").alias("ord", "f")).select(*key, "obs_id", "at", "ord", "f.*").where("size(sigs) > 0")
-    facts = C.all_alive(facts, ["obs_id", "ord"], where).withColumn("fact_id", X.fact_id("entity_id", "text"))
-    updates = moved.where("how = 'update'").select("chat_id", "obs_id", "at", F.posexplode("updates").alias("ord", "u")).select("chat_id", "obs_id", "at", "ord", "u.ref", "u.to", "u.sigs").where("size(sigs) > 0")
-    updates = C.all_alive(updates, ["obs_id", "ord"], where).drop("sigs")
-    facts = cut(facts)
-    folded = cut(K.fold_facts(K.fold_input(facts, updates, decisions), settings))
+    facts = cut(fact_rows(seen, where))
+    folded = cut(K.fold_facts(K.fold_input(facts, update_rows(moved, where), decisions), settings))
 
     order = ["at", "obs_id"]
-    user = state.select(*key, F.col("status").alias("user_status"), F.col("name").alias("user_name"), F.col("type").alias("user_type"), "lock", "protected", "keep")
     names = top(seen, key, "name", order)
     types = top(seen.where("type <> 'other'"), key, "type", order)
     referenced = seen.where("static_id is not null").groupBy(*key).agg(F.min(F.struct(*order, "static_id"))["static_id"].alias("static_id"))
-    rolled = seen.groupBy(*key).agg(
-        F.count("*").alias("live_obs"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max("importance").alias("imp_max"),
-        F.avg("importance").alias("imp_avg"), F.max("confidence").alias("conf_max"), F.avg("confidence").alias("conf_avg"),
-    )
     places = seen.select(*key, F.explode("positions").alias("pos")).distinct()
-    e = rolled.join(names, key).join(types, key, "left").join(referenced, key, "left").join(episode_counts(places, key, settings.episode_gap), key).join(user, key, "left")
+    e = rollup(seen, key).join(names, key).join(types, key, "left").join(referenced, key, "left").join(episode_counts(places, key, settings.episode_gap), key).join(user_state(state), key, "left")
     e = e.withColumn("name", F.coalesce("user_name", "name")).withColumn("type", F.coalesce("user_type", "type", F.lit("other"))).drop("user_name", "user_type")
 
     e = cut(e)
@@ -139,16 +189,10 @@ def derive(spark: SparkSession, observations: DataFrame, messages_chain: DataFra
     aliases = first_distinct(other, key, "alias", ["_src", *order, "_i"], 10).withColumnRenamed("values", "aliases")
     keyed = first_distinct(seen.select(*key, *order, F.posexplode("keys").alias("_i", "key")), key, "key", [*order, "_i"]).withColumnRenamed("values", "keys")
     none = F.array().cast("array<string>")
-    static = statics.select("chat_id", "static_id", F.col("name").alias("static_name"), F.col("keys").alias("static_keys"), X.content_tokens("content").alias("static_words"))
-    e = e.join(aliases, key, "left").join(keyed, key, "left").join(static, ["chat_id", "static_id"], "left")
+    e = with_static(e.join(aliases, key, "left").join(keyed, key, "left"), statics)
     e = e.withColumn("aliases", F.coalesce("aliases", none)).withColumn("keys", F.array_distinct(F.concat(F.coalesce("static_keys", none), F.coalesce("keys", none))))
-
-    made = folded.where("kind = 'fact'").drop("kind", "key", "old_id", "new_id", "old_text", "new_text")
-    words = X.content_tokens("text")
-    covered = (F.col("state") == "active") & (F.size("static_words") > 0) & (F.size(words) >= 2) & (X.containment(words, F.col("static_words")) >= 0.85)
-    made = made.join(e.select(*key, "static_words"), key, "left").withColumn("state", F.when(F.coalesce(covered, F.lit(False)), "in-static").otherwise(F.col("state"))).drop("static_words")
-    content = made.groupBy(*key).agg(F.bool_or(F.col("state") == "active").alias("has_content"))
-    e = e.join(content, key, "left").withColumn("has_content", F.coalesce("has_content", F.lit(False))).drop("static_keys", "static_words")
+    made = marked_static(folded.where("kind = 'fact'").drop("kind", "key", "old_id", "new_id", "old_text", "new_text"), e)
+    e = with_content(e, made).drop("static_keys", "static_words")
     how, why = classify(settings)
     e = e.withColumn("state", how).withColumn("reason", why)
     e, made = cut(e), cut(made)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -49,9 +51,15 @@ def system_prompt(settings: Settings, nonce: str) -> str:
 
 
 def mentioned(names: DataFrame, windows: DataFrame) -> DataFrame:
-    """(chat_id, batch_id, entity_id) of names of three or more characters that stand in a window as whole words."""
-    text = windows.groupBy("chat_id", "batch_id").agg(F.concat(F.lit(" "), X.norm(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda r: r["text"]), " ")), F.lit(" ")).alias("_text"))
-    return text.join(names.where("length(norm_name) >= 3"), "chat_id").where(F.contains("_text", F.concat(F.lit(" "), "norm_name", F.lit(" ")))).select("chat_id", "batch_id", "entity_id").distinct()
+    """(chat_id, batch_id, entity_id) of names of three or more characters that stand in a window as whole words.
+
+    Names and windows meet by the first word of the name; only those pairs are compared as a whole.
+    """
+    text = windows.groupBy("chat_id", "batch_id").agg(X.norm(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda r: r["text"]), " ")).alias("said"))
+    words = text.select("chat_id", "batch_id", "said", F.explode(F.array_distinct(X.words_of(F.col("said")))).alias("word"))
+    first = names.where("length(norm_name) >= 3").select("chat_id", "entity_id", "norm_name", F.substring_index("norm_name", " ", 1).alias("word"))
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    return words.join(first, ["chat_id", "word"]).where(F.contains(padded(F.col("said")), padded(F.col("norm_name")))).select("chat_id", "batch_id", "entity_id").distinct()
 
 
 def last_facts(facts: DataFrame, most: int = LAST_FACTS) -> DataFrame:
@@ -63,29 +71,42 @@ def last_facts(facts: DataFrame, most: int = LAST_FACTS) -> DataFrame:
 
 
 def known_block(view: View, statics: DataFrame, windows: DataFrame, names: DataFrame) -> DataFrame:
-    """(chat_id, batch_id, known): mentioned entities in detail, then the others' ids and names."""
+    """(chat_id, batch_id, known): mentioned entities in detail, then the others' ids and names.
+
+    A batch meets the entities it mentions, and for the list of others only the first ones of its chat: as many as the
+    list and the details can hold together.
+    """
     e = view.entities.join(last_facts(view.facts), ["chat_id", "entity_id"], "left")
-    aka = F.when(F.size("aliases") > 0, F.concat(F.lit(" aka "), F.array_join(F.slice("aliases", 1, SHOWN_ALIASES), ", "))).otherwise("")
-    facts = F.when(F.col("said").isNotNull(), F.concat(F.lit(" :: "), "said")).otherwise("")
-    own = e.select("chat_id", "entity_id", F.lit(0).alias("src"), F.concat(F.lit("- id="), "entity_id", F.lit(" | "), "name", F.lit(" ("), "type", F.lit(", "), "state", F.lit(")"), aka, facts).alias("detail"), F.concat("entity_id", F.lit("="), "name").alias("short"))
-    fixed = statics.select("chat_id", F.col("static_id").alias("entity_id"), F.lit(1).alias("src"), F.concat(F.lit("- id="), "static_id", F.lit(" | "), "name", F.lit(" ("), F.coalesce("type", F.lit("static lore")), F.lit(", PROTECTED STATIC CARD) :: "), X.sanitize("content", 220)).alias("detail"), F.concat("static_id", F.lit("="), "name").alias("short"))
+    aka = F.when(F.size("aliases") > 0, F.concat(F.lit(", also "), F.array_join(F.slice("aliases", 1, SHOWN_ALIASES), " / "))).otherwise("")
+    facts = F.when(F.col("said").isNotNull(), F.concat(F.lit(": "), "said")).otherwise("")
+    own = e.select("chat_id", "entity_id", F.lit(0).alias("src"), F.col("first_at").cast("long").alias("first"), F.concat(F.lit("* "), "entity_id", F.lit(" = "), "name", F.lit(" ("), "type", F.lit(", "), "state", F.lit(")"), aka, facts).alias("detail"), F.concat("entity_id", F.lit("="), "name").alias("short"))
+    fixed = statics.select("chat_id", F.col("static_id").alias("entity_id"), F.lit(1).alias("src"), F.lit(0).cast("long").alias("first"), F.concat(F.lit("* "), "static_id", F.lit(" = "), "name", F.lit(" ("), F.coalesce("type", F.lit("lore")), F.lit(", written by hand, not to be changed): "), X.sanitize("content", 220)).alias("detail"), F.concat("static_id", F.lit("="), "name").alias("short"))
+    every = own.unionByName(fixed)
+    order = ["src", "first", "entity_id"]
+    listed = every.withColumn("_k", F.row_number().over(Window.partitionBy("chat_id", "src").orderBy("first", "entity_id"))).where(F.col("_k") <= F.when(F.col("src") == 0, ROSTER + DETAIL).otherwise(ROSTER_ALL + DETAIL_ALL)).drop("_k")
     batches = windows.select("chat_id", "batch_id").distinct()
-    rows = batches.join(own.unionByName(fixed), "chat_id").join(mentioned(names, windows).withColumn("_hit", F.lit(True)), ["chat_id", "batch_id", "entity_id"], "left")
-    order = Window.partitionBy("chat_id", "batch_id", F.col("_hit").isNull()).orderBy("src", "entity_id")
-    rows = rows.withColumn("_rank", F.row_number().over(order))
-    full = F.col("_hit").isNotNull() & (F.col("_rank") <= F.when(F.col("src") == 0, DETAIL).otherwise(DETAIL_ALL))
-    brief = ~full & (F.col("_rank") <= F.when(F.col("src") == 0, ROSTER).otherwise(ROSTER_ALL))
-    listed = lambda flag, what, apart: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(flag, F.struct("src", "entity_id", F.col(what).alias("t"))))), lambda r: r["t"]), apart)
-    said = rows.groupBy("chat_id", "batch_id").agg(listed(full, "detail", "\n").alias("a"), listed(brief, "short", ", ").alias("b"))
-    none = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", "(none)").otherwise(F.col(c))
-    return batches.join(said, ["chat_id", "batch_id"], "left").select("chat_id", "batch_id", F.concat(F.lit("KNOWN ENTITIES in this excerpt:\n"), none("a"), F.lit("\n\nOTHER KNOWN ENTITIES (id=name): "), none("b")).alias("known"))
+    hits = mentioned(names, windows).withColumn("_hit", F.lit(True))
+    rows = batches.join(listed, "chat_id").join(hits, ["chat_id", "batch_id", "entity_id"], "left").unionByName(
+        hits.join(every, ["chat_id", "entity_id"]).join(listed.select("chat_id", "entity_id"), ["chat_id", "entity_id"], "left_anti").select("chat_id", "batch_id", "entity_id", *[c for c in every.columns if c not in ("chat_id", "entity_id")], "_hit")
+    )
+    rank = lambda *by: F.row_number().over(Window.partitionBy("chat_id", "batch_id", *by).orderBy(*order))
+    rows = rows.withColumn("_mine", rank("src", F.col("_hit").isNull())).withColumn("_mentioned", F.col("_hit").isNotNull())
+    # Own entities come first; static ones fill what is left of the larger bound.
+    full = F.col("_mentioned") & ((F.col("src") == 1) | (F.col("_mine") <= DETAIL))
+    rows = rows.withColumn("_full", full).withColumn("_all", rank("_full")).withColumn("_full", F.col("_full") & (F.col("_all") <= DETAIL_ALL))
+    rows = rows.withColumn("_mine", rank("src", "_full")).withColumn("_brief", ~F.col("_full") & ((F.col("src") == 1) | (F.col("_mine") <= ROSTER)))
+    rows = rows.withColumn("_all", rank("_full", "_brief")).withColumn("_brief", F.col("_brief") & (F.col("_all") <= ROSTER_ALL))
+    told = lambda flag, what, apart: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(flag), F.struct(*order, F.col(what).alias("t"))))), lambda r: r["t"]), apart)
+    said = rows.groupBy("chat_id", "batch_id").agg(told("_full", "detail", "\n").alias("a"), told("_brief", "short", ", ").alias("b"))
+    none = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", "none").otherwise(F.col(c))
+    return batches.join(said, ["chat_id", "batch_id"], "left").select("chat_id", "batch_id", F.concat(F.lit("Entities that this part names (reuse their ids):\n"), none("a"), F.lit("\n\nFurther ids and names: "), none("b")).alias("known"))
 
 
 def user_prompts(windows: DataFrame, known: DataFrame, nonce: str, settings: Settings) -> DataFrame:
     """(chat_id, batch_id, prompt): the known block and the numbered messages."""
     line = F.concat(
-        F.lit("["), "n", F.lit("] "), F.when(F.col("is_context"), "CONTEXT").otherwise("NEW"), F.when(F.col("is_user"), " PLAYER (").otherwise(" STORY ("),
-        X.sanitize("name", 30), F.lit("):\n"), X.scrub("text", F.lit(nonce), settings.max_chars_per_msg),
+        F.lit("#"), "n", F.when(F.col("is_context"), " (seen before) ").otherwise(" (NEW) "), F.when(F.col("is_user"), "player ").otherwise("story "),
+        X.sanitize("name", 30), F.lit(":\n"), X.scrub("text", F.lit(nonce), settings.max_chars_per_msg),
     )
     body = windows.groupBy("chat_id", "batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("t")))), lambda r: r["t"]), "\n\n").alias("body"))
     return body.join(known, ["chat_id", "batch_id"]).select("chat_id", "batch_id", F.concat("known", F.lit(f"\n\n<story_{nonce}>\n"), "body", F.lit(f"\n</story_{nonce}>\n\nAnswer with the JSON object.")).alias("prompt"))
@@ -102,12 +123,41 @@ def requests(window: DataFrame, view: View, statics: DataFrame, settings: Settin
     return prompts.withColumn("system", F.lit(system_prompt(settings, nonce)))
 
 
-def call(asked: DataFrame, extractor: Callable[[str, str], str]) -> DataFrame:
-    """(chat_id, batch_id, raw): the extractor's answers; an empty one is asked for once more."""
+Extractor = Callable[[str, str, str | None], str]
+
+
+def usable(raw: str | None) -> bool:
+    """Whether an answer holds an object with a list of entities, or such a list, give or take fences and prose."""
+    text = re.sub(r",\s*([}\]])", r"\1", raw or "")
+    for opening, closing in (("{", "}"), ("[", "]")):
+        a, b = text.find(opening), text.rfind(closing)
+        try:
+            found = json.loads(text[a : b + 1]) if 0 <= a < b else None
+        except ValueError:
+            continue
+        if isinstance(found, list) or (isinstance(found, dict) and isinstance(found.get("entities"), list)):
+            return True
+    return False
+
+
+def call(asked: DataFrame, extractor: Extractor, schema: bool = True) -> DataFrame:
+    """(chat_id, batch_id, raw): answers of extractor(system, prompt, schema or None).
+
+    With schema, an answer that cannot be used is asked for once more as plain text.
+    """
+    shape = json.dumps(json_schema()) if schema else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            raw = [extractor(s, p) or extractor(s, p) for s, p in zip(batch["system"], batch["prompt"])]
+            raw = []
+            for system, prompt in zip(batch["system"], batch["prompt"]):
+                out = extractor(system, prompt, shape)
+                raw.append(extractor(system, prompt, None) if schema and not usable(out) else out)
             yield batch[["chat_id", "batch_id"]].assign(raw=pd.Series(raw, dtype=object))
 
     return asked.select("chat_id", "batch_id", "system", "prompt").mapInPandas(run, "chat_id string, batch_id long, raw string")
+
+
+def profiles(extractors: dict[str, Extractor]) -> list[str]:
+    """The names of the extractors that may be chosen."""
+    return sorted(extractors)

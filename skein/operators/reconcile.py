@@ -52,8 +52,8 @@ def _edited() -> Column:
     return F.coalesce((content != F.col("w_content")) | (keys != F.col("w_keys")), F.lit(False))
 
 
-def plan(entities: DataFrame, facts: DataFrame, book: DataFrame, written: DataFrame, state: DataFrame, settings: Settings) -> Plan:
-    """The operations that bring the book up to the view, and what is held back (M1-M6)."""
+def matched(entities: DataFrame, facts: DataFrame, book: DataFrame, written: DataFrame, state: DataFrame, settings: Settings) -> DataFrame:
+    """Every card that should be there and every managed entry that is, side by side (D13), with whether the entry was edited."""
     cards = render(entities.where("state = 'promoted'").drop("lock", "protected", "keep"), facts, settings)
     cards = cards.select(*KEY, F.col("name").alias("card_name"), F.col("reason").alias("card_reason"), F.struct("content", F.col("card_keys").alias("key"), "comment", F.lit(False).alias("disable")).alias("card"))
     known = written.select(*KEY, F.col("content_hash").alias("w_content"), F.col("keys_hash").alias("w_keys"))
@@ -61,11 +61,16 @@ def plan(entities: DataFrame, facts: DataFrame, book: DataFrame, written: DataFr
     why = entities.select(*KEY, F.col("reason").alias("reason"))
     both = cards.join(managed(book), KEY, "full").join(known, KEY, "left").join(flags, KEY, "left").join(why, KEY, "left")
     both = both.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("lock", "protected", "keep")}).withColumn("edited", _edited())
+    return both.withColumn("wanted", F.col("card").isNotNull()).withColumn("there", F.col("before").isNotNull())
 
+
+def plan(entities: DataFrame, facts: DataFrame, book: DataFrame, written: DataFrame, state: DataFrame, settings: Settings) -> Plan:
+    """The operations that bring the book up to the view, and what is held back (M1-M6)."""
+    both = matched(entities, facts, book, written, state, settings)
     card, before = F.col("card"), F.col("before")
     usable, guarded = F.size("card.key") > 0, F.col("lock") | (F.col("edited") & F.lit(settings.on_manual_edit != "overwrite"))
     differs = (~before["content"].eqNullSafe(card["content"])) | (F.array_join(F.coalesce(before["key"], F.array().cast("array<string>")), "|") != F.array_join(card["key"], "|")) | before["disable"] | ~before["comment"].eqNullSafe(card["comment"])
-    wanted, there = card.isNotNull(), before.isNotNull()
+    wanted, there = F.col("wanted"), F.col("there")
     kept = F.col("lock") | F.col("protected") | F.col("edited")
     kind = (
         F.when(wanted & ~usable, None)
@@ -125,6 +130,13 @@ def logged(log: DataFrame, rows: DataFrame) -> DataFrame:
     return trimmed(log.unionByName(added))
 
 
+def noted(log: DataFrame, chats: DataFrame, kind: str, why: Column) -> DataFrame:
+    """log with one row for each chat that says what was done to it as a whole."""
+    none = {"entity_id": "string", "uid": "int", "name": "string"}
+    rows = chats.select("chat_id", F.lit(kind).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()], why.alias("why"), *[F.lit(None).cast(SNAP).alias(c) for c in ("before", "after")])
+    return logged(log, rows)
+
+
 def _put(state: DataFrame, rows: DataFrame, *changed: str) -> DataFrame:
     """state with the given columns of rows written over it, entity by entity."""
     new = rows.select(*KEY, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in changed])

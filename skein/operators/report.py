@@ -20,9 +20,10 @@ def state_rank(state: Column) -> Column:
 
 
 def entities(view: View) -> DataFrame:
-    """Entities with their active facts, promoted and important ones first."""
+    """Entities with their active facts and their place in their chat: promoted and important ones first."""
     said = view.facts.where("state = 'active'").groupBy("chat_id", "entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda f: f["text"]).alias("facts"))
-    return view.entities.join(said, ["chat_id", "entity_id"], "left").orderBy("chat_id", state_rank(F.col("state")), F.col("imp_max").desc(), "entity_id")
+    place = F.row_number().over(Window.partitionBy("chat_id").orderBy(state_rank(F.col("state")), F.col("imp_max").desc(), "entity_id"))
+    return view.entities.join(said, ["chat_id", "entity_id"], "left").withColumn("place", place)
 
 
 def history(log: DataFrame, most: int = HISTORY) -> DataFrame:

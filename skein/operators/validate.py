@@ -18,6 +18,7 @@ from skein.functions.settings import Settings
 
 MOST_ENTITIES, MOST_FACTS, MOST_RELATIONS, MOST_UPDATES, MOST_ALIASES, MOST_KEYS = 40, 14, 8, 30, 8, 10
 AT = ["chat_id", "batch_id"]
+WHY = L.DROP_REASONS
 
 
 @dataclass
@@ -33,6 +34,13 @@ def _get(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
+def _truthy(v: Column, path: str) -> Column:
+    """Whether a member counts as true in JSON's own language: not absent, null, false, zero or empty text."""
+    kind = F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
+    number = F.coalesce(_get(v, path, "double"), F.lit(0.0))
+    return F.when(kind == "VOID", False).when(kind == "BOOLEAN", F.coalesce(_get(v, path, "boolean"), F.lit(False))).when(kind == "STRING", F.coalesce(_get(v, path), F.lit("")) != "").when(kind.rlike("^(OBJECT|ARRAY)"), True).otherwise(number != 0)
+
+
 def _list(v: Column, path: str, most: int | None = None) -> Column:
     """An array member as variants, the first ones; empty where it is no array."""
     items = F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
@@ -78,7 +86,7 @@ def validate(extractions: DataFrame, window: DataFrame, settings: Settings, know
     names = settings.protagonist
     parsed = extractions.select(*AT, X.tolerant_json("raw").alias("v"))
     usable = _get(F.col("v"), "$.entities", "array<variant>").isNotNull()
-    audit = [parsed.where(~F.coalesce(usable, F.lit(False))).select(*AT, F.lit("response").alias("what"), F.lit("not an object with an entities array").alias("why"))]
+    audit = [parsed.where(~F.coalesce(usable, F.lit(False))).select(*AT, F.lit("response").alias("what"), F.lit(WHY["no_shape"]).alias("why"))]
     parsed = parsed.where(usable)
 
     e = _objects(parsed, "$.entities", MOST_ENTITIES, "ent")
@@ -89,8 +97,8 @@ def validate(extractions: DataFrame, window: DataFrame, settings: Settings, know
     e = _cited(e, "$.messages", window, ["ent"], "cited")
     excluded = F.col("type").isin(list(settings.excluded_types)) if settings.excluded_types else F.lit(False)
     e = e.withColumn("_why", _why([
-        (F.col("name") == "", "no name"), (F.col("action") == "ignore", ""), (X.is_protagonist("name", names), "protagonist is never given a card"),
-        (excluded, "type excluded"), (F.col("cited").isNull(), "no cited messages (no provenance)"),
+        (F.col("name") == "", WHY["no_name"]), (F.col("action") == "ignore", ""), (X.is_protagonist("name", names), WHY["protagonist"]),
+        (excluded, "type excluded"), (F.col("cited").isNull(), WHY["no_source"]),
     ]))
     e = e.withColumn("_why", F.when(F.col("_why") == "type excluded", F.concat(F.lit("type "), "type", F.lit(" excluded"))).otherwise(F.col("_why")))
     e = cut(e)
@@ -114,15 +122,15 @@ def validate(extractions: DataFrame, window: DataFrame, settings: Settings, know
     f = f.withColumn("status", F.when(status.isin(L.STATUSES), status).otherwise("unresolved"))
     strict = settings.evidence_strictness == "strict"
     f = f.withColumn("_why", _why([
-        (F.length("text") < 3, ""), (X.violates_agency("text", names), "asserts protagonist thoughts/feelings/choices"),
-        (~F.col("holds") & F.lit(strict), "evidence quote not found in cited messages"),
+        (F.length("text") < 3, ""), (X.violates_agency("text", names), WHY["agency"]),
+        (~F.col("holds") & F.lit(strict), WHY["no_quote"]),
     ]))
     f = cut(f)
     audit.append(f.where("_why <> ''").select(*AT, F.col("text").alias("what"), F.col("_why").alias("why")))
     softened = F.when(~F.col("holds") & (F.col("status") == "confirmed"), "unresolved").otherwise(F.col("status"))
     facts = f.where("_why is null").select(
         *AT, "ent", "ord", "text", X.guard_status("text", softened).alias("status"), F.when(slot.isin(L.SLOTS), slot).otherwise("").alias("slot"),
-        F.coalesce(_get(F.col("v"), "$.changes_previous", "boolean"), F.lit(False)).alias("changed"), X.sanitize(_get(F.col("v"), "$.evidence"), 140).alias("evidence"), *_sources("cited"),
+        _truthy(F.col("v"), "$.changes_previous").alias("changed"), X.sanitize(_get(F.col("v"), "$.evidence"), 140).alias("evidence"), *_sources("cited"),
     )
 
     r = _cited(_objects(owner, "$.relationships", MOST_RELATIONS, "ord"), "$.messages", window, ["ent", "ord"], "own").withColumn("cited", F.coalesce("own", "inherited"))
@@ -132,16 +140,16 @@ def validate(extractions: DataFrame, window: DataFrame, settings: Settings, know
     r = r.withColumn("text", X.sanitize(F.when(F.coalesce(given, F.lit("")) != "", given).otherwise(F.replace("rel_kind", F.lit("_"), F.lit(" "))), 100))
     romantic = F.col("rel_kind").isin(L.ROMANTIC)
     r = r.withColumn("_why", _why([
-        ((F.col("other") == "") | (X.norm("other") == X.norm("owner")), ""), (X.violates_agency(F.concat_ws(" ", "other", "text"), names) & ~romantic, "protagonist feelings/choices"),
-        (romantic & ~F.coalesce(_get(F.col("v"), "$.explicit", "boolean"), F.lit(False)), "romantic relationship not explicitly established"),
-        (~X.evidence_holds(_get(F.col("v"), "$.evidence"), _texts("cited")), "relationship evidence not found"),
+        ((F.col("other") == "") | (X.norm("other") == X.norm("owner")), ""), (X.violates_agency(F.concat_ws(" ", "other", "text"), names) & ~romantic, WHY["bond_agency"]),
+        (romantic & ~_truthy(F.col("v"), "$.explicit"), WHY["not_explicit"]),
+        (~X.evidence_holds(_get(F.col("v"), "$.evidence"), _texts("cited")), WHY["bond_no_quote"]),
     ]))
     pair = F.concat("owner", F.lit("↔"), "other", F.when(F.col("_why").startswith("romantic"), F.concat(F.lit(":"), "rel_kind")).otherwise(""))
     r = cut(r)
     audit.append(r.where("_why <> ''").select(*AT, pair.alias("what"), F.col("_why").alias("why")))
     relations = r.where("_why is null").select(
         *AT, "ent", "ord", "text", F.lit("confirmed").alias("status"), F.concat(F.lit("rel:"), X.norm("other")).alias("slot"),
-        F.coalesce(_get(F.col("v"), "$.changes_previous", "boolean"), F.lit(False)).alias("changed"), X.sanitize(_get(F.col("v"), "$.evidence"), 140).alias("evidence"), *_sources("cited"), "rel_kind", "other",
+        _truthy(F.col("v"), "$.changes_previous").alias("changed"), X.sanitize(_get(F.col("v"), "$.evidence"), 140).alias("evidence"), *_sources("cited"), "rel_kind", "other",
     )
 
     u = _cited(_objects(parsed, "$.fact_updates", MOST_UPDATES, "ord"), "$.messages", window, ["ord"], "cited")
@@ -151,8 +159,8 @@ def validate(extractions: DataFrame, window: DataFrame, settings: Settings, know
     else:
         u = u.join(known_facts.select("chat_id", F.col("fact_id").alias("ref")).distinct().withColumn("_known", F.lit(True)), ["chat_id", "ref"], "left")
     u = u.withColumn("_why", _why([
-        ((F.col("ref") == "") | F.col("_known").isNull(), "unknown fact id"), (~F.coalesce(F.col("to").isin(L.UPDATE_STATES), F.lit(False)) | F.col("cited").isNull(), ""),
-        (~X.evidence_holds(_get(F.col("v"), "$.evidence"), _texts("cited")), "evidence not found"),
+        ((F.col("ref") == "") | F.col("_known").isNull(), WHY["unknown_fact"]), (~F.coalesce(F.col("to").isin(L.UPDATE_STATES), F.lit(False)) | F.col("cited").isNull(), ""),
+        (~X.evidence_holds(_get(F.col("v"), "$.evidence"), _texts("cited")), WHY["update_no_quote"]),
     ]))
     u = cut(u)
     audit.append(u.where("_why <> ''").select(*AT, F.concat(F.lit("update "), "ref").alias("what"), F.col("_why").alias("why")))
