@@ -1,30 +1,32 @@
 """The engine: a ledger of observations per chat, kept as tables in a folder, and what users do with it (A, J5, M9-M10, N, R).
 
-Each table is a folder of versions; a write makes a new version and then moves the pointer, so nothing that is being
-read is overwritten and a lost job leaves the last version in force.
+Every step takes and gives tables of all chats at once, or of the chats named; what one action changes is committed by
+one manifest, so that a lost job leaves the state before it in force.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.settings import Settings
 from skein.operators import chain as C
 from skein.operators import derive as D
 from skein.operators import extract as E
+from skein.operators import ledger as G
 from skein.operators import reconcile as M
+from skein.operators import report as P
 from skein.operators import resolve as J
 from skein.operators import validate as V
+from skein.sources import books as B
+from skein.sources.store import BUCKETS, Scope, Store, upserted
 
-RUNS = "chat_id string, seq long, ok boolean, n int, added int, dropped int, error string"
 TABLES = {
+    "messages": "chat_id string, idx int, role string, name string, text string",
     "observations": D.OBSERVATIONS,
     "scanned": "chat_id string, sig string",
     "entity_state": D.ENTITY_STATE,
@@ -33,211 +35,229 @@ TABLES = {
     "rejected": "chat_id string, op_key string",
     "pending": f"op_key string, {M.OPS}",
     "change_log": M.LOG,
-    "runs": RUNS,
+    "runs": "chat_id string, seq long, ok boolean, n int, added int, dropped int, error string",
     "book": M.BOOK,
+    "books": "chat_id string, book string, bound string",
+    "static_books": "chat_id string, book string",
     "statics": D.STATICS,
 }
-RUN_ROWS = 60
-
-
-class Store:
-    """Versioned Parquet tables under one path that Spark can reach."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.version: dict[str, str] = {}
-        for name, ddl in TABLES.items():
-            found = self._files(f"{self.path}/{name}")
-            if found:
-                self.version[name] = found[-1]
-            else:
-                self.write(name, spark.createDataFrame([], ddl))
-
-    def _files(self, path: str) -> list[str]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not system.exists(folder):
-            return []
-        done = [s.getPath() for s in system.listStatus(folder) if system.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(p.getName() for p in done)
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/{self.version[name]}")
-
-    def write(self, name: str, df: DataFrame) -> None:
-        """The table as a new version; members that df lacks are null (A4, A5)."""
-        empty = self.spark.createDataFrame([], TABLES[name])
-        number = int(self.version.get(name, "v0").split("-")[0][1:]) + 1
-        version = f"v{number:09d}-{uuid.uuid4().hex[:8]}"
-        empty.unionByName(df.select(*[c for c in df.columns if c in empty.columns]), allowMissingColumns=True).write.parquet(f"{self.path}/{name}/{version}")
-        self.version[name] = version
-
-    def put(self, name: str, keys: list[str], rows: DataFrame) -> None:
-        """rows instead of those with the same keys; other columns of existing rows are kept where rows lack them."""
-        old = self.read(name)
-        new = [c for c in rows.columns if c not in keys]
-        joined = old.join(rows.select(*keys, *[F.col(c).alias(f"_{c}") for c in new], F.lit(True).alias("_hit")), keys, "full")
-        hit = F.coalesce("_hit", F.lit(False))
-        self.write(name, joined.select(*[F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in old.columns]))
+#: What a branch takes along; it gets a book of its own.
+INHERITED = ("messages", "observations", "scanned", "entity_state", "decisions", "rejected", "change_log", "runs", "static_books", "statics")
 
 
 class Engine:
-    """All chats of a store. messages: (chat_id, idx, role, name, text)."""
-
-    def __init__(self, spark: SparkSession, path: str, settings: Settings | None = None, extractor: Callable[[str, str], str] | None = None):
-        self.spark, self.settings, self.extractor = spark, settings or Settings(enabled=True), extractor
-        self.store = Store(spark, path)
-        self.messages: DataFrame = spark.createDataFrame([], "chat_id string, idx int, role string, name string, text string")
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        """df written beside the tables and read back: short plans, and lost executors cost no more than a step."""
-        path = f"{self.store.path}/steps/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    # ---- reading
-    def chain(self) -> DataFrame:
-        return C.build_chain(self.messages)
-
-    def view(self) -> D.View:
-        read = self.store.read
-        return D.derive(self.spark, read("observations"), self.chain(), self.settings, read("entity_state"), read("decisions"), read("statics"), self.cut)
+    """All chats of a store."""
+
+    def __init__(self, spark: SparkSession, path: str, settings: Settings | None = None, extractor: E.Extractor | None = None, extractors: dict[str, E.Extractor] | None = None, buckets: int = BUCKETS):
+        self.spark, self.settings = spark, settings or Settings(enabled=True)
+        self.extractors = extractors or ({"default": extractor} if extractor else {})
+        self.extractor = extractor or next(iter(self.extractors.values()), None)
+        self.store = Store(spark, path, TABLES, buckets)
+        self.cancelled = False
+        self._view: tuple | None = None
+
+    cut = property(lambda self: self.store.cut)
+
+    @property
+    def messages(self) -> DataFrame:
+        return self.store.read("messages")
+
+    @messages.setter
+    def messages(self, rows: DataFrame) -> None:
+        self.store.write("messages", rows)
+
+    # ---- reading. Actions take chats as a table or a Scope; the steps below work on a Scope, or on all chats without one.
+    def _scope(self, chats: DataFrame | Scope | str | None) -> Scope | None:
+        if isinstance(chats, str):
+            chats = self.spark.createDataFrame([(chats,)], "chat_id string")
+        return chats if chats is None or isinstance(chats, Scope) else self.store.scope(chats)
+
+    def read(self, name: str, scope: Scope | None = None) -> DataFrame:
+        return self.store.of(name, scope)
+
+    def chain(self, scope: Scope | None = None) -> DataFrame:
+        return C.build_chain(self.read("messages", scope))
+
+    def view(self, scope: Scope | None = None) -> D.View:
+        """The view of the chats; the one made last is taken again while nothing that it is made of has changed."""
+        key = (id(scope), [self.store.folders.get(n) for n in ("observations", "messages", "entity_state", "decisions", "statics")], self.settings)
+        if self._view is None or self._view[0] != key:
+            self._view = (key, self._derived(scope), scope)
+        return self._view[1]
+
+    def _derived(self, scope: Scope | None) -> D.View:
+        tables = (self.read(n, scope) for n in ("entity_state", "decisions", "statics"))
+        return D.derive(self.spark, self.read("observations", scope), self.chain(scope), self.settings, *tables, self.cut)
+
+    def profiles(self) -> list[str]:
+        return E.profiles(self.extractors)
+
+    def choose(self, profile: str) -> None:
+        self.extractor = self.extractors[profile]
+
+    # ---- sources
+    def load_statics(self, entries: DataFrame) -> None:
+        """The static entries of each chat, from the books named in static_books and the settings."""
+        own = self.store.read("books").select("chat_id", "book")
+        self.store.write("statics", B.static_entries(entries, B.static_names(self.store.read("static_books"), own, self.settings), self.settings))
+
+    def ensure_books(self, chats: DataFrame | Scope, existing: DataFrame | None = None) -> DataFrame:
+        """Names and binds a book for each chat that has none; what was made, and which chats are bound elsewhere."""
+        scope = self._scope(chats)
+        have = self.read("books", scope)
+        asked = scope.chats.join(have, "chat_id", "left").withColumn("label", F.col("chat_id"))
+        made = self.cut(B.ensure_books(asked, self.store.read("books").select("book") if existing is None else existing, self.settings))
+        self.store.replace("books", made, scope)
+        return made
+
+    def _assert_writable(self, scope: Scope) -> None:
+        """Makes missing books, and refuses if any book of the chats is not ours to write (A10)."""
+        have = self.read("books", scope)
+        own = have if scope.chats.join(have, "chat_id", "left_anti").isEmpty() else self.ensure_books(scope)
+        fixed = own.select("chat_id", F.explode(F.array(*map(F.lit, self.settings.static_books))).alias("book")) if self.settings.static_books else own.select("chat_id", "book").limit(0)
+        static = self.read("static_books", scope).select("chat_id", "book").unionByName(fixed)
+        if bad := B.writable(own.withColumn("target", F.col("book")), static, self.settings).where("not ok").first():
+            raise PermissionError(f"{bad['book']} is not ours to write")
 
     # ---- extraction
-    def scan(self, force: bool = False) -> int:
-        """Reads what is due with the extractor, takes it in, and syncs; how many observations were added."""
+    def scan(self, force: bool = False, chats: DataFrame | Scope | None = None, calls: int | None = None) -> int:
+        """Reads what is due with the extractor, takes it in, and syncs; how many observations were added.
+
+        calls bounds the batches of a chat; cancel() stops before the next step, and what was not taken in stays unread.
+        """
         if self.extractor is None:
             raise ValueError("no extractor")
-        window = C.windows(self.messages, self.store.read("scanned"), self.settings, force)
-        view = self.view()
-        raw = E.call(E.requests(window, view, self.store.read("statics"), self.settings), self.extractor)
-        return self.ingest(raw, window, view)
-
-    def ingest(self, extractions: DataFrame, window: DataFrame, view: D.View | None = None) -> int:
+        self.cancelled, scope = False, self._scope(chats)
+        window = self.cut(C.windows(self.read("messages", scope), self.read("scanned", scope), self.settings, force, calls))
+        if window.isEmpty():
+            return 0
+        due = self._scope(window)
+        view = self.view(due)
+        raw = self.cut(E.call(E.requests(window, view, self.read("statics", due), self.settings), self.extractor))
+        return 0 if self.cancelled else self.ingest(raw, window, view, due)
+
+    def cancel(self) -> None:
+        self.cancelled = True
+
+    def ingest(self, extractions: DataFrame, window: DataFrame, view: D.View | None = None, scope: Scope | None = None) -> int:
         """Parse, validate, resolve, append, mark as read (J5). Batches whose answer is no JSON stay unread (Q9)."""
-        store, view = self.store, view or self.view()
-        read = extractions.withColumn("_ok", V.X.tolerant_json("raw").isNotNull())
-        read, window = self.cut(read), self.cut(window.withColumnRenamed("batch", "batch_id"))
-        good = read.where("_ok").select("chat_id", "batch_id", "raw")
+        read, window = self.cut(extractions.withColumn("ok", V.X.tolerant_json("raw").isNotNull())), self.cut(window.withColumnRenamed("batch", "batch_id"))
+        scope = scope or self._scope(read)
+        view = view or self.view(scope)
+        good = read.where("ok").select("chat_id", "batch_id", "raw")
         checked = V.validate(good, window, self.settings, view.facts.select("chat_id", "fact_id"), self.cut)
-        statics = store.read("statics")
-        entities = self.cut(checked.entities)
-        identity = self.cut(J.take_in(entities, J.registry(view.entities, statics)))
-        old = store.read("observations")
+        identity = self.cut(J.take_in(checked.entities, J.registry(view.entities, self.read("statics", scope))))
         at = ["chat_id", "batch_id", "ent"]
-        plain = F.struct("text", "status", "slot", "changed", "evidence", "by", "sigs", F.lit(None).cast("string").alias("rel_kind"), F.lit(None).cast("string").alias("other"))
-        related = F.struct(F.concat("other", F.lit(": "), "text").alias("text"), "status", "slot", "changed", "evidence", "by", "sigs", "rel_kind", "other")
-        told = checked.facts.select(*at, F.struct(F.lit(0).alias("k"), "ord", plain.alias("f")).alias("o")).unionByName(checked.relations.select(*at, F.struct(F.lit(1).alias("k"), "ord", related.alias("f")).alias("o")))
-        gathered = told.groupBy(*at).agg(F.transform(F.array_sort(F.collect_list("o"), lambda a, b: F.when((a["k"] < b["k"]) | ((a["k"] == b["k"]) & (a["ord"] < b["ord"])), -1).otherwise(1)), lambda o: o["f"]).cast(D.FACTS).alias("facts"))
-        named = entities.drop("name", "aliases", "matches_id", "action").join(identity, at).join(gathered, at, "left")
-        changes = checked.updates.groupBy("chat_id", "batch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "ref", "to", "evidence", "sigs"))), lambda u: F.struct(u["ref"].alias("ref"), u["to"].alias("to"), u["evidence"].alias("evidence"), u["sigs"].alias("sigs"))).alias("updates"))
-        pseudo = changes.select("chat_id", "batch_id", F.lit(2_147_483_647).alias("ent"), *[F.lit("_updates").alias(c) for c in ("entity_id", "name")], F.lit("other").alias("type"), F.array_distinct(F.flatten(F.transform("updates", lambda u: u["sigs"]))).alias("sigs"), F.lit(0.0).alias("importance"), F.lit(1.0).alias("confidence"), F.lit("fact status updates").alias("reason"), F.lit("update").alias("how"), "updates")
-        new = named.unionByName(pseudo, allowMissingColumns=True)
-        last = old.groupBy("chat_id").agg(F.max("obs_id").alias("_last"))
-        number = F.row_number().over(Window.partitionBy("chat_id").orderBy("batch_id", "ent"))
-        new = new.join(last, "chat_id", "left").withColumn("obs_id", F.coalesce("_last", F.lit(0).cast("long")) + number)
+        named = checked.entities.drop("name", "aliases", "matches_id", "action").join(identity, at).join(G.told(checked), at, "left")
+        new = named.unionByName(G.update_observations(checked.updates), allowMissingColumns=True)
+        with self.store.change():
+            self.store.replace("observations", G.appended(self.read("observations", scope), new), scope)
+            self.store.replace("scanned", G.marked(self.read("scanned", scope), window, good), scope)
+            self.store.replace("runs", G.newest_runs(self.read("runs", scope), G.run_rows(read, window, identity, checked.dropped)), scope)
         added = identity.count()
-        runs = self._runs(read, window, checked, identity)
-        store.write("observations", old.unionByName(new.select(*[c for c in old.columns if c in new.columns]), allowMissingColumns=True))
-        store.write("scanned", store.read("scanned").unionByName(window.where("not is_context").join(good.select("chat_id", "batch_id"), ["chat_id", "batch_id"], "left_semi").select("chat_id", "sig")).distinct())
-        store.write("runs", runs)
-        self.sync()
+        self.sync(scope)
         return added
 
-    def _runs(self, read: DataFrame, window: DataFrame, checked: V.Validated, identity: DataFrame) -> DataFrame:
-        """The newest runs of each chat with those of this call."""
-        at = ["chat_id", "batch_id"]
-        n = window.where("not is_context").groupBy(*at).agg(F.count("*").cast("int").alias("n"))
-        added, dropped = (df.groupBy(*at).agg(F.count("*").cast("int").alias(c)) for df, c in ((identity, "added"), (checked.dropped, "dropped")))
-        old = self.store.read("runs")
-        last = old.groupBy("chat_id").agg(F.max("seq").alias("_last"))
-        seq = F.coalesce("_last", F.lit(-1).cast("long")) + F.row_number().over(Window.partitionBy("chat_id").orderBy("batch_id"))
-        new = read.select(*at, F.col("_ok").alias("ok")).join(n, at, "left").join(added, at, "left").join(dropped, at, "left").join(last, "chat_id", "left").withColumn("seq", seq)
-        new = new.withColumn("error", F.when(~F.col("ok"), "no usable JSON")).fillna(0, ["n", "added", "dropped"])
-        rank = F.row_number().over(Window.partitionBy("chat_id").orderBy(F.col("seq").desc()))
-        return old.unionByName(new.select(*old.columns)).withColumn("_rank", rank).where(F.col("_rank") <= RUN_ROWS).drop("_rank")
-
     # ---- syncing
-    def _plan(self) -> M.Plan:
-        view = self.view()
-        read = self.store.read
-        return M.plan(view.entities, view.facts, read("book"), read("written"), read("entity_state"), self.settings)
+    def _plan(self, scope: Scope | None) -> M.Plan:
+        view = self.view(scope)
+        return M.plan(view.entities, view.facts, *(self.read(n, scope) for n in ("book", "written", "entity_state")), self.settings)
 
-    def sync(self, apply: bool = True) -> None:
+    def sync(self, chats: DataFrame | Scope | None = None) -> None:
         """Derive, plan, and apply or queue for review (M10). Nothing to do writes nothing."""
-        if not apply or not self.settings.enabled:
+        if not self.settings.enabled:
             return
-        ops = self._plan().ops
-        if self.settings.apply_mode == "review":
-            ops, waiting = M.review(ops, self.store.read("rejected"))
-            self.store.write("pending", waiting)
-        self._apply(ops)
+        scope = self._scope(chats)
+        ops = self.cut(self._plan(scope).ops)
+        with self.store.change():
+            if self.settings.apply_mode == "review":
+                ops, waiting = M.review(ops, self.read("rejected", scope))
+                self.store.replace("pending", waiting, scope)
+                ops = self.cut(ops)
+            self._apply(ops)
 
     def _apply(self, ops: DataFrame) -> None:
-        ops = self.cut(ops)
-        if ops.isEmpty():
-            return
-        read = self.store.read
-        self._keep(M.apply_ops(ops, read("book"), read("written"), read("entity_state"), read("change_log"), self.settings))
+        if not ops.isEmpty():
+            scope = self._scope(ops)
+            self._keep(M.apply_ops(ops, *(self.read(n, scope) for n in ("book", "written", "entity_state", "change_log")), self.settings), scope)
 
-    def _keep(self, done: M.Applied) -> None:
-        # The frames read versions that stay, so the order of writing does not matter.
-        for name, df in (("book", done.book), ("written", done.written), ("entity_state", done.state), ("change_log", done.log)):
-            self.store.write(name, df)
+    def _keep(self, done: M.Applied, scope: Scope) -> None:
+        """Writes the books of the chats, if all of them are ours to write, and what belongs to them."""
+        with self.store.change():
+            self._assert_writable(scope)
+            for name, df in (("book", done.book), ("written", done.written), ("entity_state", done.state), ("change_log", done.log)):
+                self.store.replace(name, df, scope)
 
     # ---- what users decide
-    def set_entity(self, chat_id: str, entity_id: str, **flags: Any) -> None:
-        """status promote, reject or None; lock, protected, keep; name, type, merge_into."""
-        row = self.spark.createDataFrame([(chat_id, entity_id, *flags.values())], "chat_id string, entity_id string, " + ", ".join(f"{k} {'boolean' if k in ('lock', 'protected', 'keep') else 'string'}" for k in flags))
-        self.store.put("entity_state", ["chat_id", "entity_id"], row)
-        self.sync()
+    def set_entities(self, rows: DataFrame, sync: bool = True) -> None:
+        """rows (chat_id, entity_id, ...) over what users set before: status, lock, protected, keep, name, type, merge_into."""
+        scope = self._scope(rows)
+        self.store.replace("entity_state", upserted(self.read("entity_state", scope), ["chat_id", "entity_id"], rows), scope)
+        if sync:
+            self.sync(scope)
+
+    def set_entity(self, chat_id: str, entity_id: str, sync: bool = True, **flags: Any) -> None:
+        """For one entity."""
+        kinds = ", ".join(f"{k} {'boolean' if k in ('lock', 'protected', 'keep') else 'string'}" for k in flags)
+        self.set_entities(self.spark.createDataFrame([(chat_id, entity_id, *flags.values())], f"chat_id string, entity_id string, {kinds}"), sync)
 
     def merge(self, chat_id: str, entity_id: str, into: str) -> None:
         self.set_entity(chat_id, entity_id, merge_into=into)
 
-    def decide(self, chat_id: str, pair_key: str, decision: str) -> None:
-        """new, old or both for a conflict."""
-        self.store.put("decisions", ["chat_id", "pair_key"], self.spark.createDataFrame([(chat_id, pair_key, decision)], D.DECISIONS))
-        self.sync()
+    def decide(self, rows: DataFrame, sync: bool = True) -> None:
+        """rows (chat_id, pair_key, decision): new, old or both for a conflict."""
+        scope = self._scope(rows)
+        self.store.replace("decisions", upserted(self.read("decisions", scope), ["chat_id", "pair_key"], rows), scope)
+        if sync:
+            self.sync(scope)
 
-    def approve(self, picks: list[tuple[str, str]], reject: bool = False) -> None:
+    def approve(self, picks: list[tuple[str, str]] | DataFrame, reject: bool = False) -> None:
         """Applies or rejects queued proposals (chat_id, op_key), planned afresh."""
-        chosen = self.spark.createDataFrame(picks, TABLES["rejected"])
-        left = self.store.read("pending").join(chosen, ["chat_id", "op_key"], "left_anti")
-        if reject:
-            self.store.write("rejected", self.store.read("rejected").unionByName(chosen).distinct())
-        else:
-            self._apply(M.approved(self._plan().ops, chosen))
-        self.store.write("pending", left)
+        chosen = self.cut((picks if isinstance(picks, DataFrame) else self.spark.createDataFrame(picks, TABLES["rejected"])).select("chat_id", "op_key"))
+        scope = self._scope(chosen)
+        left = self.read("pending", scope).join(chosen, ["chat_id", "op_key"], "left_anti")
+        with self.store.change():
+            if reject:
+                self.store.replace("rejected", self.read("rejected", scope).unionByName(chosen).distinct(), scope)
+            else:
+                self._apply(self.cut(M.approved(self._plan(scope).ops, chosen)))
+            self.store.replace("pending", left, scope)
 
     def rollback(self, chat_id: str, seq: int) -> bool:
         """Undoes one row of the change log (M8)."""
-        read = self.store.read
-        row = read("change_log").where((F.col("chat_id") == chat_id) & (F.col("seq") == seq) & F.col("kind").isin("create", "update", "disable", "remove"))
+        scope = self._scope(chat_id)
+        row = self.cut(self.read("change_log", scope).where((F.col("seq") == seq) & F.col("kind").isin(P.UNDOABLE)))
         if row.isEmpty():
             return False
-        self._keep(M.rollback(row, read("book"), read("written"), read("entity_state"), read("change_log"), self.settings))
+        self._keep(M.rollback(row, *(self.read(n, scope) for n in ("book", "written", "entity_state", "change_log")), self.settings), scope)
         return True
 
     # ---- upkeep
     def prune(self, keep_newest: int = 1500) -> int:
         """Forgets dormant observations beyond the newest ones; how many went (H5)."""
         old = self.store.read("observations")
-        kept = prune_dormant(old, C.positions(self.chain()), keep_newest)
-        before, _ = old.count(), self.store.write("observations", kept)
+        before = old.count()
+        self.store.write("observations", G.prune_dormant(old, C.positions(self.chain()), keep_newest))
         return before - self.store.read("observations").count()
 
-    def rescan(self, chat_id: str) -> None:
-        """Forgets what was read of a chat; users' decisions stay."""
-        for name in ("observations", "scanned", "pending"):
-            self.store.write(name, self.store.read(name).where(F.col("chat_id") != chat_id))
-
-    def branch(self, chat_id: str, new_id: str) -> None:
-        """A copy of a chat's ledger under a new id, without a book."""
-        for name in ("observations", "scanned", "entity_state", "decisions", "rejected", "change_log", "runs", "statics"):
-            df = self.store.read(name)
-            self.store.write(name, df.unionByName(df.where(F.col("chat_id") == chat_id).withColumn("chat_id", F.lit(new_id))))
+    def rescan(self, chats: DataFrame | str, read: bool = False) -> None:
+        """Forgets what was read of the chats; users' decisions stay (N2). With read, everything is read anew at once."""
+        scope = self._scope(chats)
+        with self.store.change():
+            for name in ("observations", "scanned", "pending"):
+                self.store.replace(name, G.forgotten(self.read(name, scope), scope.chats), scope)
+            self.store.replace("change_log", M.noted(self.read("change_log", scope), scope.chats, "rescan", F.lit("read anew")), scope)
+        if read:
+            self.scan(force=True, chats=scope)
+
+    def branch(self, branches: DataFrame) -> None:
+        """Copies of ledgers, (chat_id, new_id), without books."""
+        scope = self._scope(branches.select("chat_id").union(branches.select("new_id")))
+        copies = branches.select(F.col("new_id").alias("chat_id"), F.col("chat_id").alias("origin"))
+        with self.store.change():
+            for name in INHERITED:
+                rows = G.branched(self.read(name, scope), branches)
+                self.store.replace(name, M.noted(rows, copies, "branch", F.concat(F.lit("copied from "), "origin")) if name == "change_log" else rows, scope)
 
     def export_json(self, path: str) -> None:
         """Every table as JSON rows, and the settings."""
@@ -246,15 +266,14 @@ class Engine:
         self.spark.createDataFrame([(json.dumps(self.settings, default=vars),)], "settings string").write.mode("overwrite").text(f"{path}/settings")
 
     def import_json(self, path: str) -> None:
-        """An export's tables, but for the book and what is written, which stay this store's own."""
-        for name, ddl in TABLES.items():
-            if name not in ("book", "written"):
-                self.store.write(name, self.spark.read.schema(ddl).json(f"{path}/{name}"))
+        """An export's tables, but for the books and what is written, which stay this store's own."""
+        with self.store.change():
+            for name, ddl in TABLES.items():
+                if name not in ("book", "books", "written", "messages"):
+                    self.store.write(name, self.spark.read.schema(ddl).json(f"{path}/{name}"))
 
     def report(self) -> dict[str, DataFrame]:
         """The dashboard's tables (P, R2)."""
-        from skein.operators import report as P
-
         view, read = self.view(), self.store.read
         return {
             "entities": P.entities(view), "pending": read("pending"), "conflicts": view.conflicts, "history": P.history(read("change_log")),
@@ -262,16 +281,8 @@ class Engine:
         }
 
 
-def prune_dormant(observations: DataFrame, where: DataFrame, keep_newest: int = 4000) -> DataFrame:
-    """All live observations and the newest dormant ones, so many together."""
-    live = C.alive(observations, where).select("chat_id", "obs_id").withColumn("_live", F.lit(True))
-    marked = observations.join(live, ["chat_id", "obs_id"], "left").withColumn("_live", F.coalesce("_live", F.lit(False)))
-    lives = F.sum(F.col("_live").cast("int")).over(Window.partitionBy("chat_id"))
-    rank = F.row_number().over(Window.partitionBy("chat_id", "_live").orderBy(F.col("obs_id").desc()))
-    out = marked.withColumn("_n", lives).withColumn("_rank", rank).where(F.col("_live") | (F.col("_rank") <= F.greatest(F.lit(0), F.lit(keep_newest) - F.col("_n"))))
-    return out.select(*observations.columns)
-
-
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, Any]]:
-    for batch in batches:
-        yield from batch.to_pylist()
+#: What a user may do, by the name of the command or button.
+COMMANDS: dict[str, Callable[..., Any]] = {
+    "scan": Engine.scan, "dashboard": Engine.report, "set": Engine.set_entities, "merge": Engine.merge, "decide": Engine.decide, "approve": Engine.approve, "rollback": Engine.rollback,
+    "rederive": Engine.sync, "prune": Engine.prune, "rescan": Engine.rescan, "branch": Engine.branch, "export": Engine.export_json, "import": Engine.import_json, "cancel": Engine.cancel,
+}

@@ -1,7 +1,6 @@
 """Scenarios over the engine: many chats go through every step at once."""
 
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +9,6 @@ from skein.engine import Engine
 from skein.functions.settings import Settings
 from skein.operators import chain as C
 
-pytestmark = pytest.mark.skipif(not os.environ.get("SKEIN_SLOW"), reason="many jobs over tiny tables: minutes; set SKEIN_SLOW=1")
 PLAYER, STORY = True, False
 
 
@@ -42,7 +40,7 @@ def step(engine, spark, given):
     window = engine.chain().join(bounds, "chat_id").where("pos >= a and pos < b").withColumn("n", F.col("pos") - F.col("a") + 1)
     window = window.withColumn("batch", F.lit(0).cast("long")).withColumn("is_context", F.lit(False)).drop("a", "b")
     raw = spark.createDataFrame([(c, 0, r) for c, (_, _, r) in given.items()], "chat_id string, batch_id long, raw string")
-    return engine.ingest(raw, window)
+    return engine.ingest(raw, engine.cut(window))
 
 
 def cards(engine):
@@ -60,6 +58,18 @@ TWO = [(PLAYER, "I walk into the herb shop."), (STORY, "Elena, a healer of the o
 BACK = [(PLAYER, "I return to the shop."), (STORY, "Elena shows you her new garden behind the shop.")]
 
 
+@pytest.fixture(scope="module", autouse=True)
+def small(spark):
+    """Tiny tables: one partition, and no plans that are made anew."""
+    own = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 @pytest.fixture(scope="module")
 def world(spark, tmp_path_factory):
     chats = {
@@ -75,7 +85,7 @@ def world(spark, tmp_path_factory):
         "no-json": [(PLAYER, "Hello."), (STORY, "Nothing to see.")],
         "plan": [(PLAYER, "I wait."), (STORY, "Orla plans to rob the bank at dusk."), (PLAYER, "Then?"), (STORY, "Orla robs the bank.")],
     }
-    engine = Engine(spark, f"file://{tmp_path_factory.mktemp('ledger')}", Settings(enabled=True))
+    engine = Engine(spark, f"file://{tmp_path_factory.mktemp('ledger')}", Settings(enabled=True), buckets=1)
     engine.messages = frame(spark, chats)
     engine.store.write("statics", spark.createDataFrame([("static", "static:world:1", "Grey Tower", ["grey tower", "the tower of ash"], "location", "The Grey Tower is an ancient tower of stone by the sea.")], "chat_id string, static_id string, name string, keys array<string>, type string, content string"))
     healer = fact("is a healer of the old quarter", "a healer of the old quarter", messages=[2])
@@ -133,20 +143,18 @@ def test_later_steps(world, spark):
     engine.messages = frame(spark, chats | {"recurring": [*TWO, *filler(14, "b"), BACK[0], (STORY, "Elena is out.")]})
     engine.sync()
     assert "recurring" not in cards(engine)
-    engine.messages = frame(spark, chats)
-    engine.sync()
-    assert len(cards(engine)["recurring"]) == 1
     # A card that was changed by hand is left alone and locked.
+    engine.messages = frame(spark, chats)
     own = F.col("chat_id") == "lie"
     engine.store.write("book", engine.store.read("book").withColumn("content", F.when(own, "By hand.").otherwise(F.col("content"))))
     engine.sync()
+    assert len(cards(engine)["recurring"]) == 1
     assert cards(engine)["lie"][0]["content"] == "By hand." and engine.store.read("entity_state").where(own).first()["lock"]
     # Undoing a removal restores the card and keeps it.
     removed = engine.store.read("change_log").where("chat_id = 'recurring' and kind = 'remove'").first()["seq"]
     engine.set_entity("recurring", "elena", status="reject")
     assert "recurring" not in cards(engine)
     assert engine.rollback("recurring", removed)
-    engine.sync()
     assert len(cards(engine)["recurring"]) == 1
     report = engine.report()
     assert report["meta"].where("chat_id = 'recurring'").first()["live"] == 2 and report["history"].where("chat_id = 'recurring'").count() >= 3
@@ -160,10 +168,23 @@ def test_review_and_branch(world, spark):
     assert "tomas" in pending and "one-off" not in cards(engine)
     engine.approve([("one-off", pending["tomas"])])
     assert cards(engine)["one-off"][0]["content"] == "Tomas (character): brings soup to guests."
-    engine.branch("one-off", "branch")
+    engine.branch(spark.createDataFrame([("one-off", "branch")], "chat_id string, new_id string"))
     assert engine.store.read("observations").where("chat_id = 'branch'").count() == 1 and "branch" not in cards(engine)
     engine.rescan("one-off")
     assert engine.store.read("observations").where("chat_id = 'one-off'").count() == 0
     assert engine.store.read("entity_state").where("chat_id = 'one-off'").count() == 1
-    assert engine.prune(0) >= 1
     assert C.build_chain(engine.messages).where("chat_id = 'lie'").count() == 2
+    # What no message bears any more is forgotten; a book that is no longer ours is not written.
+    engine.messages = engine.messages.where("chat_id <> 'evidence'")
+    assert engine.prune(0) == 1
+    engine.store.write("static_books", engine.store.read("books").where("chat_id = 'lie'").select("chat_id", "book"))
+    with pytest.raises(PermissionError):
+        engine.rollback("lie", engine.store.read("change_log").where("chat_id = 'lie' and kind = 'create'").first()["seq"])
+    # A new engine finds what was committed; cleaning leaves it whole.
+    before = engine.store.read("observations").count()
+    assert engine.store.clean(keep=1) > 10
+    again = Engine(spark, engine.store.path, Settings(enabled=True))
+    assert again.store.number == engine.store.number and again.store.read("observations").count() == before and again.store.read("book").count() == engine.store.read("book").count()
+    engine.store.write("messages", engine.messages)
+    with pytest.raises(Exception, match="exist"):
+        again.store.write("messages", again.messages)
