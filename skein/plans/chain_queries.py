@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.engine import prune_dormant
 from skein.functions.settings import Settings
 from skein.operators import chain as C
 from skein.operators import report as P
+from skein.operators.ledger import prune_dormant
 from skein.plans import inputs as I
 from skein.plans import sql as Q
 from skein.plans.registry import add
@@ -82,36 +82,15 @@ add("b11_live_obs", _chain(lambda c: C.alive(cited(c), left_over(c)).select("cha
 add("b12_live_fact", _chain(lambda c: C.all_alive(cited(c), ["obs_id"], left_over(c)).select("chat_id", "obs_id")), _with(LIVE, then="SELECT chat_id, obs_id FROM whole"))
 add("b13_live_update", _chain(lambda c: C.all_alive(cited(c).where("size(sigs) > 1"), ["obs_id"], left_over(c)).groupBy("chat_id").agg(F.count("*").alias("n"))), _with(LIVE, then="SELECT chat_id, count(*) AS n FROM whole WHERE (chat_id, obs_id) IN (SELECT (chat_id, obs_id) FROM cited GROUP BY chat_id, obs_id HAVING count(*) > 1) GROUP BY chat_id"))
 add("f1_chrono_order", _chain(lambda c: C.alive(cited(c), left_over(c)).selectExpr("chat_id", "obs_id", "row_number() over (partition by chat_id order by at, obs_id) AS ord")), _with(LIVE, then='SELECT chat_id, obs_id, row_number() OVER (PARTITION BY chat_id ORDER BY live."at", obs_id) AS ord FROM live'))
-add("e9_provenance_union", _chain(lambda c: cited(c).groupBy("chat_id").agg(F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("sigs")))), ",").alias("sigs"))), _with(LIVE, then="SELECT chat_id, string_agg(DISTINCT sig, ',' ORDER BY sig) AS sigs FROM cited GROUP BY chat_id"))
-add("e11_update_sig_union", _chain(lambda c: cited(c).groupBy("chat_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("sigs")))).alias("n"))), _with(LIVE, then="SELECT chat_id, count(DISTINCT sig) AS n FROM cited GROUP BY chat_id"))
-add("h6_dedupe_sigs", _chain(lambda c: cited(c).select("chat_id", "obs_id", F.size(F.array_distinct(F.concat("sigs", "sigs"))).alias("n"))), _with(LIVE, then="SELECT chat_id, obs_id, count(DISTINCT sig) AS n FROM cited GROUP BY ALL"))
-add("h1_obs_append", _chain(lambda c: c.where("is_user").select("chat_id", "pos").unionByName(c.where("not is_user").select("chat_id", "pos"))), _with(then="SELECT chat_id, pos FROM chain WHERE is_user UNION ALL SELECT chat_id, pos FROM chain WHERE NOT is_user"))
-add("h2_scanned_add", _chain(lambda c: read_before(c).unionByName(c.where("pos < 2").select("chat_id", "sig")).distinct()), _with(then="SELECT DISTINCT chat_id, sig FROM chain WHERE pos < 2"))
 add("h5_prune_dormant", _chain(lambda c: prune_dormant(cited(c), left_over(c), 3).select("chat_id", "obs_id")), _with(LIVE, then="""
 SELECT chat_id, obs_id FROM live UNION ALL
 SELECT chat_id, obs_id FROM (SELECT c.chat_id, c.obs_id, row_number() OVER (PARTITION BY c.chat_id ORDER BY c.obs_id DESC) AS r, (SELECT count(*) FROM live l WHERE l.chat_id = c.chat_id) AS n
   FROM (SELECT DISTINCT chat_id, obs_id FROM cited) c WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.chat_id = c.chat_id AND l.obs_id = c.obs_id)) WHERE r <= greatest(0, 3 - n)"""))
-from skein.plans.registry import ORACLES, QUERIES  # noqa: E402
-
-add("n1_prune", QUERIES["h5_prune_dormant"], ORACLES["h5_prune_dormant"])
+add("n1_prune", _chain(lambda c: prune_dormant(cited(c), C.positions(c.where("pos > 3")), 0).groupBy("chat_id").agg(F.count("*").alias("kept"))), _with(then="SELECT chat_id, count(DISTINCT p) AS kept FROM (SELECT c.chat_id, c.pos AS p, c.sig FROM chain c UNION ALL SELECT c.chat_id, c.pos, n.sig FROM chain c JOIN chain n ON n.chat_id = c.chat_id AND n.pos = c.pos + 1) x WHERE EXISTS (SELECT 1 FROM chain l WHERE l.chat_id = x.chat_id AND l.sig = x.sig AND l.pos > 3) GROUP BY chat_id"))
 ESTIMATE = "SELECT chat_id, count(*) AS n, sum(length(text))::BIGINT AS chars, ceil(sum(length(text)) / 4.0)::BIGINT AS tokens, ceil(count(*) / 12.0)::BIGINT AS calls FROM todo GROUP BY chat_id"
 add("e13_unscanned_estimate", _chain(lambda c: P.estimate(todo(c), Settings())), _with(TODO, then=ESTIMATE))
-add("p5_report_tools", _chain(lambda c: P.estimate(todo(c), Settings())), _with(TODO, then=ESTIMATE))
+add("p5_report_tools", lambda spark, sf_dir: I.engine(spark, sf_dir).report()["tools"], "WITH " + Q.OBSERVED + " SELECT chat_id, count(*) AS n, sum(length('event ' || obs_id))::BIGINT AS chars, ceil(sum(length('event ' || obs_id)) / 4.0)::BIGINT AS tokens, ceil(count(*) / 12.0)::BIGINT AS calls FROM obs WHERE value >= 1 GROUP BY chat_id")
 META = "SELECT c.chat_id, count(DISTINCT c.obs_id) AS observations, count(DISTINCT l.obs_id) AS live, 1::BIGINT AS scanned FROM cited c LEFT JOIN live l USING (chat_id, obs_id) GROUP BY c.chat_id"
-for _key in ("e14_live_ratio", "p6_report_meta"):
-    add(_key, _chain(lambda c: P.meta(cited(c), left_over(c), read_before(c))), _with(LIVE, then=META))
-add("e15_run_stats", _chain(lambda c: C.batches(todo(c), SIZE).groupBy("chat_id", "batch").agg(F.count("*").alias("n"), F.count_if(F.col("is_user")).alias("player"))), _with(TODO, BATCHED, then="SELECT chat_id, batch, count(*) AS n, count(*) FILTER (WHERE is_user) AS player FROM batched GROUP BY ALL"))
-add("d1_cite_join", _chain(lambda c: _shown(c).where("n = 2 and not is_context").select("chat_id", "batch", "sig")), _with(TODO, BATCHED, SHOWN, then="SELECT chat_id, batch, sig FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, batch ORDER BY is_context DESC, pos) AS n FROM shown) WHERE n = 2 AND NOT is_context"))
-
-
-def _branch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chat copied under a new id, with what its copy shares."""
-    c = I.chain(spark, sf_dir)
-    copy = c.where("pos < 2").withColumn("chat_id", F.concat("chat_id", F.lit("-b")))
-    return c.unionByName(copy).groupBy("sig").agg(F.count("*").alias("n"))
-
-
-for _key in ("n3_branch_reown", "a2_ledger_get"):
-    add(_key, _branch, _with(then="SELECT sig, count(*) AS n FROM (SELECT sig FROM chain UNION ALL SELECT sig FROM chain WHERE pos < 2) GROUP BY sig"))
-add("a7_book_name", lambda spark, sf_dir: I.messages(spark, sf_dir).select("chat_id").distinct().select("chat_id", F.concat(F.lit("Skein_"), F.substring(F.regexp_replace("chat_id", "[^A-Za-z0-9_-]", "_"), 1, 40), F.lit("_"), F.substring(F.md5("chat_id"), 1, 5)).alias("book")),
-    "SELECT DISTINCT conv_id::VARCHAR AS chat_id, 'Skein_' || left(regexp_replace(conv_id::VARCHAR, '[^A-Za-z0-9_-]', '_', 'g'), 40) || '_' || left(md5(conv_id::VARCHAR), 5) AS book FROM conversations")
+add("p6_report_meta", _chain(lambda c: P.meta(cited(c), left_over(c), read_before(c))), _with(LIVE, then=META))
+add("e14_live_ratio", _chain(lambda c: P.meta(cited(c), left_over(c), todo(c).select("chat_id", "sig")).select("chat_id", F.round(F.col("live") / F.col("observations"), 6).alias("ratio"), "scanned")),
+    _with(LIVE, TODO, then="SELECT c.chat_id, round(count(DISTINCT l.obs_id) / count(DISTINCT c.obs_id), 6) AS ratio, (SELECT count(DISTINCT sig) FROM todo t WHERE t.chat_id = c.chat_id) AS scanned FROM cited c LEFT JOIN live l USING (chat_id, obs_id) GROUP BY c.chat_id"))

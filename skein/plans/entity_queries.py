@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import lexicon as L
 from skein.functions import text as X
 from skein.functions.settings import Settings
+from skein.operators import chain as C
 from skein.operators import derive as D
 from skein.operators import fold as K
 from skein.operators import reconcile as M
@@ -49,61 +50,26 @@ EPISODES = f"""epi AS (SELECT chat_id, entity_id, count(*) AS appear, max(pos) -
 
 
 def rolled(o: DataFrame) -> DataFrame:
-    return o.groupBy(*KEY).agg(
-        F.count("*").alias("live_obs"), F.min("pos").alias("first_at"), F.max("pos").alias("last_at"), F.max("importance").alias("imp_max"), F.avg("importance").alias("imp_avg"),
-        F.max("confidence").alias("conf_max"), F.avg("confidence").alias("conf_avg"),
-    )
-
-
-def rounded() -> list[Column]:
-    return [F.round(c, 6).alias(c) for c in ("imp_max", "imp_avg", "conf_max", "conf_avg")]
+    return D.rollup(o, KEY, "pos")
 
 
-add("e3_entity_rollup", _events(lambda o: rolled(o).select(*KEY, "live_obs", "first_at", "last_at", *rounded())), _with(ROLL, then="SELECT chat_id, entity_id, live_obs, first_at, last_at, round(imp_max, 6) AS imp_max, round(imp_avg, 6) AS imp_avg, round(conf_max, 6) AS conf_max, round(conf_avg, 6) AS conf_avg FROM roll"))
 add("e6_alias_set", _events(lambda o: D.first_distinct(o, ["chat_id"], "entity_id", ["pos"], 3).select("chat_id", F.array_join("values", ",").alias("aliases"))),
     _with(TOP.format(where=""), then="SELECT chat_id, string_agg(entity_id, ',' ORDER BY first) AS aliases FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY first) AS k FROM votes) WHERE k <= 3 GROUP BY chat_id"))
 add("e7_key_set", _events(lambda o: D.first_distinct(o, ["chat_id"], "entity_id", ["pos"]).select("chat_id", F.array_join(F.array_distinct(F.concat(F.array(F.lit("static"), F.lit("view")), "values")), ",").alias("keys"))),
     _with(TOP.format(where="WHERE entity_id <> 'view'"), then="SELECT o.chat_id, 'static,view' || coalesce(',' || v.keys, '') AS keys FROM (SELECT DISTINCT chat_id FROM obs) o LEFT JOIN (SELECT chat_id, string_agg(entity_id, ',' ORDER BY first) AS keys FROM votes GROUP BY chat_id) v USING (chat_id)"))
 add("e8_distinct_positions", _events(lambda o: D.episode_counts(o.select(*KEY, "pos"), KEY, GAP).select(*KEY, "appear", "span")), _with(EPISODES, then="SELECT chat_id, entity_id, appear, span FROM epi"))
-for _key in ("f2_episodes", "q11_session_gap"):
-    add(_key, _events(lambda o: D.episode_counts(o.select(*KEY, "pos"), KEY, GAP).select(*KEY, "episodes")), _with(EPISODES, then="SELECT chat_id, entity_id, episodes::INT AS episodes FROM epi"))
+add("f2_episodes", _events(lambda o: D.episode_counts(o.select(*KEY, "pos"), KEY, GAP).select(*KEY, "episodes")), _with(EPISODES, then="SELECT chat_id, entity_id, episodes::INT AS episodes FROM epi"))
+add("q11_session_gap", _events(lambda o: o.groupBy(*KEY).agg(C.episodes(F.sort_array(F.collect_set("pos")), 2).alias("sessions"))), _with(EPISODES.replace(f"> {GAP}", "> 2"), then="SELECT chat_id, entity_id, episodes::INT AS sessions FROM epi"))
 add("e10_next_uid", _events(lambda o: M.next_uids(o.select("chat_id", "obs_id"), o.where("value > 100").select("chat_id", F.col("pos").alias("uid")), "obs_id")),
     _with(then="SELECT o.chat_id, obs_id, coalesce(t.m, -1) + row_number() OVER (PARTITION BY o.chat_id ORDER BY obs_id) AS uid FROM obs o LEFT JOIN (SELECT chat_id, max(pos) AS m FROM obs WHERE value > 100 GROUP BY chat_id) t USING (chat_id)"))
 
 
-def _ranked(key: str, most: int) -> None:
-    def run(o: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("chat_id").orderBy(F.col("pos").desc()))
-        return o.withColumn("r", rank).where(F.col("r") <= most).select("chat_id", "obs_id")
-
-    add(key, _events(run), _with(then=f"SELECT chat_id, obs_id FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY pos DESC) AS r FROM obs) WHERE r <= {most}"))
-
-
-_ranked("f4_last_k_facts", 8)
-_ranked("g7_cap_known", 14)
-_ranked("g9_cap_runs", 60)
-
-
-def _sliced(key: str, most: int) -> None:
-    def run(o: DataFrame) -> DataFrame:
-        gathered = o.groupBy("chat_id").agg(F.array_sort(F.collect_list(F.struct("pos", "obs_id"))).alias("every"))
-        return gathered.select("chat_id", F.posexplode(F.slice("every", 1, most)).alias("ord", "e")).select("chat_id", "ord", "e.obs_id")
-
-    add(key, _events(run), _with(then=f"SELECT chat_id, pos AS ord, obs_id FROM obs WHERE pos < {most}"))
-
-
-for _key, _most in (("g1_cap_entities", 40), ("g2_cap_facts", 14), ("g3_cap_updates", 30), ("g4_cap_aliases", 8)):
-    _sliced(_key, _most)
 add("g5_cap_lengths", lambda spark, sf_dir: I.table(spark, sf_dir, "documents").select("doc_id", X.sanitize("text", 60).alias("name"), X.sanitize("text", 180).alias("fact"), X.sanitize("text", 140).alias("quote"), X.sanitize("text", 100).alias("relation")),
     f"SELECT doc_id, {Q.sanitize('text', 60)} AS name, {Q.sanitize('text', 180)} AS fact, {Q.sanitize('text', 140)} AS quote, {Q.sanitize('text', 100)} AS relation FROM documents")
-add("g6_cap_card", lambda spark, sf_dir: I.table(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") > 900, F.concat(X.cut_at_word(F.col("text"), 900), F.lit("…"))).otherwise(F.col("text")).alias("card")),
-    f"SELECT doc_id, CASE WHEN length(text) > 900 THEN {Q.cut('text', 900)} || '…' ELSE text END AS card FROM documents")
 LOGGED = "SELECT chat_id, seq FROM (SELECT chat_id, pos AS seq, row_number() OVER (PARTITION BY chat_id ORDER BY pos DESC) AS r FROM obs) WHERE r <= "
 add("g8_cap_log", _events(lambda o: M.trimmed(o.select("chat_id", F.col("pos").alias("seq")), 30)), _with(then=LOGGED + "30"))
-add("n4_log_change", _events(lambda o: M.trimmed(o.select("chat_id", F.col("pos").alias("seq")).unionByName(o.groupBy("chat_id").agg((F.max("pos") + 1).alias("seq"))), 30)), _with(then="SELECT chat_id, seq FROM (SELECT chat_id, seq, row_number() OVER (PARTITION BY chat_id ORDER BY seq DESC) AS r FROM (SELECT chat_id, pos AS seq FROM obs UNION ALL SELECT chat_id, max(pos) + 1 FROM obs GROUP BY chat_id)) WHERE r <= 30"))
 HISTORY = "SELECT chat_id, seq, rank, kind IN ('create', 'update', 'remove', 'disable') AS undoable FROM (SELECT chat_id, pos AS seq, CASE entity_id WHEN 'click' THEN 'create' WHEN 'view' THEN 'rollback' ELSE 'user' END AS kind, row_number() OVER (PARTITION BY chat_id ORDER BY pos DESC) AS rank FROM obs) WHERE rank <= 50"
-for _key in ("g11_top_history", "p4_report_history"):
-    add(_key, _events(lambda o: P.history(o.select("chat_id", F.col("pos").alias("seq"), F.when(F.col("entity_id") == "click", "create").when(F.col("entity_id") == "view", "rollback").otherwise("user").alias("kind")), 50).select("chat_id", "seq", "rank", "undoable")), _with(then=HISTORY))
+add("g11_top_history", _events(lambda o: P.history(o.select("chat_id", F.col("pos").alias("seq"), F.when(F.col("entity_id") == "click", "create").when(F.col("entity_id") == "view", "rollback").otherwise("user").alias("kind")), 50).select("chat_id", "seq", "rank", "undoable")), _with(then=HISTORY))
 add("f5_slot_rank_order", lambda spark, sf_dir: I.table(spark, sf_dir, "part").select("p_partkey", R.slot_rank(F.element_at(F.array(*map(F.lit, [*L.SLOTS, "none"])), F.pmod("p_size", F.lit(14)).cast("int") + 1), F.when(F.col("p_retailprice") > 1500, "ally")).alias("rank")),
     f"SELECT p_partkey, CASE WHEN p_retailprice > 1500 THEN 100 WHEN s = 'none' THEN 50 ELSE list_position([{Q.quote(L.SLOT_ORDER)}], s) - 1 END AS rank FROM (SELECT *, [{Q.quote([*L.SLOTS, 'none'])}][p_size % 14 + 1] AS s FROM part)")
 
@@ -131,11 +97,6 @@ add("k5_slot_conflict", _folded("'confirmed'", "location", Settings(conflict_pol
 add("f6_conflict_prev", _folded("'confirmed'", "location", Settings(conflict_policy="latest"), ["text", "sup_by"]), _with(WORDS, SEEN, then="SELECT chat_id, text, 'F' || left(md5('who|' || lead(text) OVER (PARTITION BY chat_id ORDER BY first)), 12) AS sup_by FROM seen"))
 add("k3_fact_settle", _folded("if(value < 50, 'rumor', 'confirmed')", "", SETTINGS, ["text", "status", "state"]),
     _with(WORDS, then="SELECT chat_id, text, status, CASE WHEN status = 'rumor' AND EXISTS (SELECT 1 FROM w c WHERE c.chat_id = r.chat_id AND c.text = r.text AND c.status = 'confirmed' AND c.pos > r.first) THEN CASE WHEN (SELECT min(c.pos) FROM w c WHERE c.chat_id = r.chat_id AND c.text = r.text AND c.status = 'confirmed') > r.first THEN 'superseded' ELSE 'active' END ELSE 'active' END AS state FROM (SELECT chat_id, text, status, min(pos) AS first FROM w GROUP BY ALL) r"))
-add("k1_fact_init", _events(lambda o: facts(o, F.lit("confirmed"), "").select("chat_id", "fact_id", "text", "at", "state")), _with(WORDS, then="""SELECT chat_id, 'F' || left(md5('who|' || text), 12) AS fact_id, text, pos AS "at", 'active' AS state FROM w"""))
-for _key in ("f3_fact_fold", "k7_fold_driver"):
-    add(_key, _folded("if(value < 50, 'rumor', 'confirmed')", "location", Settings(conflict_policy="both"), ["text", "status", "state", "disputed", "size(sigs) as n"]))
-
-
 def _longer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A location that grows by a word with each message: one refined fact a chat (K4)."""
     o = I.observed(spark, sf_dir)
@@ -157,13 +118,24 @@ def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOLD = "SELECT chat_id, text, CASE WHEN text = 'w' || md5('signup') THEN 'confirmed' ELSE 'rumor' END AS status, CASE WHEN text = 'w' || md5('error') THEN 'false' ELSE 'active' END AS state FROM seen"
-for _key in ("k6_fact_update", "d8_update_join"):
-    add(_key, _told, _with(WORDS, SEEN, then=TOLD))
+add("k6_fact_update", _told, _with(WORDS, SEEN, then=TOLD))
+
+
+def _routed(o: DataFrame) -> DataFrame:
+    """An update from every error, by the id of the fact about it; some ids are nobody's."""
+    ref = F.when(F.col("pos") % 4 == 0, "F0").otherwise(X.fact_id(F.lit("who"), F.concat(F.lit("w"), F.md5("entity_id"))))
+    updates = o.where("entity_id = 'error'").select("chat_id", ref.alias("ref"), F.lit("false").alias("to"), F.col("pos").alias("at"), "obs_id", F.lit(0).alias("ord"))
+    return K.route_updates(facts(o, F.lit("rumor"), ""), updates).select("chat_id", "entity_id", "obs_id", "to")
+
+
+add("d8_update_join", _events(_routed), _with(then="""SELECT chat_id, 'who' AS entity_id, obs_id, 'false' AS "to" FROM obs WHERE entity_id = 'error' AND pos % 4 <> 0"""))
 
 
 def _k8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pairs(spark, sf_dir).withColumn("ta", X.content_tokens("a")).withColumn("tb", X.content_tokens("b"))
-    return rows.select("conv_id", "turn", ((F.size("ta") >= 2) & (F.size("tb") > 0) & (X.containment(F.col("ta"), F.col("tb")) >= 0.85)).alias("in_static"))
+    rows = pairs(spark, sf_dir).select("conv_id", "turn", F.col("conv_id").cast("string").alias("chat_id"), F.col("turn").cast("string").alias("entity_id"), F.col("a").alias("text"), F.lit("active").alias("state"), F.col("b").alias("content"))
+    statics = rows.select("chat_id", F.col("entity_id").alias("static_id"), F.lit("").alias("name"), F.array().cast("array<string>").alias("keys"), "content")
+    entities = D.with_static(rows.select(*KEY, F.col("entity_id").alias("static_id")), statics)
+    return D.marked_static(rows.drop("content"), entities).select("conv_id", "turn", (F.col("state") == "in-static").alias("in_static"))
 
 
 add("k8_static_delta", _k8, f"WITH p AS ({PAIRS}), t AS (SELECT *, {Q.content('a')} AS ta, {Q.content('b')} AS tb FROM p) SELECT conv_id, turn, len(ta) >= 2 AND len(tb) > 0 AND ({Q.containment('ta', 'tb')}) >= 0.85 AS in_static FROM t")
@@ -196,10 +168,3 @@ CLASSIFIED = f"""ents AS (
 )"""
 add("k9_classify", _events(lambda o: classified(o).select(*KEY, "type", "state", F.regexp_replace("reason", "[0-9]+[.][0-9]+", "#").alias("reason"), "episodes", "appear")),
     _with(ROLL, EPISODES, RULES, CLASSIFIED, then="SELECT chat_id, entity_id, type, state, regexp_replace(reason, '[0-9]+[.][0-9]+', '#', 'g') AS reason, episodes::INT AS episodes, appear::INT AS appear FROM classified"))
-add("b14_renderable_filter", _events(lambda o: classified(o).where("state in ('promoted', 'candidate') and has_content").select(*KEY)), _with(ROLL, EPISODES, RULES, CLASSIFIED, then="SELECT chat_id, entity_id FROM classified WHERE state IN ('promoted', 'candidate') AND has_content"))
-add("d12_type_rule_lookup", _events(lambda o: classified(o).groupBy("type").agg(F.count("*").alias("n")).select("type", "n", *[F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for t, r in SETTINGS.type_rules.items() for x in (t, r.min_appearances)]), F.col("type")), F.lit(3)).alias("times")])),
-    _with(RULES, then=f"SELECT type, n, times FROM (SELECT {TYPE_SQL} AS type, count(DISTINCT (chat_id, entity_id)) AS n FROM obs GROUP BY 1) JOIN rules USING (type)"))
-RANKED = "SELECT chat_id, entity_id, row_number() OVER (PARTITION BY chat_id ORDER BY list_position(['promoted', 'candidate', 'excluded', 'rejected'], state), round(imp_max, 6) DESC, entity_id) AS place FROM classified"
-for _key in ("g10_top_entities", "p1_report_entities"):
-    add(_key, _events(lambda o: classified(o).select(*KEY, F.row_number().over(Window.partitionBy("chat_id").orderBy(P.state_rank(F.col("state")), F.round("imp_max", 6).desc(), "entity_id")).alias("place"))), _with(ROLL, EPISODES, RULES, CLASSIFIED, then=RANKED))
-add("k10_derive", _events(lambda o: classified(o).groupBy("state", "type").agg(F.count("*").alias("n"))), _with(ROLL, EPISODES, RULES, CLASSIFIED, then="SELECT state, type, count(*) AS n FROM classified GROUP BY ALL"))

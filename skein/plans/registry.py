@@ -19,4 +19,4 @@ def add(key: str, query: Query, oracle: str | None = None) -> None:
         ORACLES[key] = oracle
 
 
-from skein.plans import book_queries, chain_queries, entity_queries, match_queries, text_queries  # noqa: E402, F401
+from skein.plans import book_queries, chain_queries, entity_queries, flow_queries, ledger_queries, match_queries, text_queries  # noqa: E402, F401
