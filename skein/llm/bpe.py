@@ -10,8 +10,8 @@ Results are those of the tokenizers library for a vocabulary of this kind (NFC,
 byte-level symbols), without added special tokens; the special tokens' strings in a text become their ids. Decoding
 gives the tokens' strings joined by a space, as the library does for a vocabulary without a decoder.
 
-Defined cases: null text counts as empty and has no ids; repeated rows are encoded each; any columns besides doc_id and
-text are ignored; the longest texts are processed whole.
+Defined cases: null text counts as empty and has no ids; repeated rows are encoded each, as are rows without an id; the
+longest texts are processed whole; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm.common import only, table, texts_of
@@ -52,18 +52,27 @@ def byte_symbols() -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
-    """For ASCII and for low code points (built from their categories) fast patterns, what lies beyond, and the general one."""
+def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """For ASCII and for low code points (built from their categories) fast patterns, and what lies beyond."""
     low = [chr(c) for c in range(0x250)]
     letters, digits = ("".join(re.escape(c) for c in low if unicodedata.category(c)[0] == k) for k in "LN")
     return (
         re.compile(WORDS.format(L="a-z", N="0-9", S="\t-\r ")),
         re.compile(WORDS.format(L=letters, N=digits, S=SPACE)),
         re.compile("[^\x00-\u024f]"),
-        regex.compile(WORDS.format(L=r"\p{L}", N=r"\p{N}", S=SPACE)),
     )
 
 
+@lru_cache(maxsize=2)
+def _splitter(path: str) -> Callable[[str], list[str]]:
+    """The words of any text by the library's own tables, as other tables know other characters."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    normalise, split = library.normalizer.normalize_str, library.pre_tokenizer[0].pre_tokenize_str
+    return lambda text: [word for word, _ in split(normalise(text))]
+
+
 class Vocabulary:
     """The file's symbols and ranked merges as arrays."""
 
@@ -148,18 +157,36 @@ class Vocabulary:
         return sym[:n][alive].astype(np.uint32), counts[np.concatenate(([0], ends))]
 
 
+class Words(dict):
+    """A number for each word, given when it is met first; fresh are the words met since it was emptied."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class Encoder:
     """Texts to ids, with the words met so far remembered."""
 
     def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+        self.path, self.vocabulary = path, Vocabulary(path)
         self.split = re.compile("(" + "|".join(map(re.escape, self.vocabulary.special)) + ")")
         self.forget()
 
     def forget(self) -> None:
         # No word looks like the special tokens: they mix letters and signs.
-        self.pieces: dict[str, bytes] = {token: np.uint32(k).tobytes() for token, k in self.vocabulary.special.items()}
+        self.numbers = Words()
+        for token in self.vocabulary.special:
+            self.numbers[token]
+        self.numbers.fresh.clear()
         self.chars = 0
+        # The ids of all words one after the other, and where each word's begin.
+        self.ids = np.array(list(self.vocabulary.special.values()), "<u4")
+        self.begins = np.arange(len(self.ids) + 1)
 
     def words(self, text: str, special: bool = True) -> list[str]:
         """The words of a text; with special, the special tokens' strings are words of their own."""
@@ -168,32 +195,40 @@ class Encoder:
             if special and part in self.vocabulary.special:
                 out.append(part)
                 continue
-            plain, fast, beyond, general = _patterns()
+            plain, fast, beyond = _patterns()
+            low = part.lower()
             if part.isascii():
-                out += plain.findall(part.lower())
-                continue
-            part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3").lower()  # sigma: no special final form
-            out += (general if beyond.search(part) else fast).findall(part)
+                out += plain.findall(low)
+            else:
+                out += _splitter(self.path)(part) if beyond.search(low) else fast.findall(low)
         return out
 
-    def learn(self, words: list[str]) -> None:
-        ids, at = self.vocabulary.merge([w.encode("utf-8", "surrogatepass") for w in words])
-        whole, at = ids.tobytes(), (4 * at).tolist()
-        self.pieces.update(zip(words, [whole[a:b] for a, b in zip(at[:-1], at[1:])]))
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, where each word's begin and the last ends)."""
+        return self.vocabulary.merge([w.encode("utf-8", "surrogatepass") for w in words])
 
-    def encode(self, texts: list[str], special: bool = True) -> list[bytes]:
+    def encode(self, texts: list[str], special: bool = True) -> list[np.ndarray]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.pieces) > MEMORY_WORDS or self.chars > MEMORY_CHARS:
+        if len(self.numbers) > MEMORY_WORDS or self.chars > MEMORY_CHARS:
             self.forget()
         laid = [self.words(text, special) for text in texts]
-        fresh = sorted(set().union(*laid).difference(self.pieces))
-        self.learn(fresh)
-        self.chars += sum(map(len, fresh))
-        return [b"".join(map(self.pieces.__getitem__, own)) for own in laid]
-
-    def decode(self, ids: bytes) -> bytes:
+        ends = np.cumsum([0, *map(len, laid)])
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(laid)), np.int64, int(ends[-1]))
+        if fresh := self.numbers.fresh:
+            ids, begins = self.learn(fresh)
+            self.begins = np.concatenate((self.begins, self.begins[-1] + begins[1:]))
+            self.ids = np.concatenate((self.ids, ids.astype("<u4")))
+            self.chars += sum(map(len, fresh))
+            fresh.clear()
+        begin = self.begins[numbers]
+        size = self.begins[numbers + 1] - begin
+        after = np.concatenate(([0], np.cumsum(size)))
+        out = self.ids[np.repeat(begin - after[:-1], size) + np.arange(after[-1])]
+        return [out[a:b] for a, b in zip(after[ends[:-1]].tolist(), after[ends[1:]].tolist())]
+
+    def decode(self, ids: np.ndarray) -> bytes:
         """The decoded text in UTF-8."""
-        return b" ".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b" ".join(map(self.vocabulary.tokens.__getitem__, ids.tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -226,7 +261,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
-            made = [np.frombuffer(x, "<i4") for x in encoder(path).encode(texts)]
+            made = [x.astype(np.int32) for x in encoder(path).encode(texts)]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in made]))).astype(np.int32)
             values = np.concatenate(made) if made else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "ids"])
@@ -240,7 +275,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [encoder(path).decode(np.array(x or [], "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
+            made = [encoder(path).decode(np.array(x or [], "<u4")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
     return only(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -257,7 +292,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(ids, pa.int64()),
-                    "n_tokens": pa.array([len(x) // 4 for x in made], pa.int64()),
+                    "n_tokens": pa.array([len(x) for x in made], pa.int64()),
                     "ids_sha256": [hashlib.sha256(x).hexdigest() for x in made],
                     "decoded_sha256": [hashlib.sha256(own.decode(x)).hexdigest() for x in made],
                 }

@@ -45,7 +45,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> tuple[DataFr
             parts = []
             for k in range(0, len(texts), 500):
                 for made in own.encode(texts[k : k + 500], special=False):
-                    parts += [np.frombuffer(made, "<u4").astype(f"<u{width}").tobytes(), end]
+                    parts += [made.astype(f"<u{width}").tobytes(), end]
             name = files.write(f"{folder}/files", parts)
             n = len(ids)
             yield pa.RecordBatch.from_pydict({"path": [name] * n, "bytes": [sum(map(len, parts))] * n, "width": [width] * n, "k": pa.array(np.arange(n)), "doc_id": pa.array(ids, pa.int64())})
