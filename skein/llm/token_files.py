@@ -1,27 +1,33 @@
 """Token ids in compact shard files: Re-Pair grammar compression with random access.
 
-Documents are range-partitioned by doc_id and every partition writes one file of blocks. In a block, frequent pairs of
-neighbouring ids are replaced by nonterminals, again and again, each round on what the round before has left. A round
-counts all pairs exactly by sorting them (occurrences that overlap in a run of one symbol count once), ranks them by
-count and replaces every occurrence that has a better rank than its neighbours', so overlaps resolve the same way
-everywhere. Rounds end when no pair occurs LEAST times, or at MOST_RULES rules. No pair crosses the end of a document,
-so each document is a run of symbols of its own.
+Documents are range-partitioned by doc_id and every partition writes files of blocks, each block as soon as it is full,
+so that a task holds one block at a time. A block is a shard with a grammar of its own: frequent pairs of neighbouring
+ids are replaced by nonterminals, again and again, each round on what the round before has left, until no pair occurs
+LEAST times. A round counts all pairs exactly by sorting them (occurrences that overlap in a run of one symbol count
+once), ranks them by count and replaces every occurrence that has a better rank than its neighbours', so overlaps
+resolve the same way everywhere. No pair crosses the end of a document, so each document is a run of symbols of its own.
 
 File: blocks one after the other. Block, little-endian: 8 unsigned 64-bit integers (documents, rules, symbols, bytes of
-a symbol, first nonterminal, ids, CRC-32 of the rest, 0); doc_id (int64 each) and a mask of null ids (uint8); the
-symbol at which each document begins and the end (uint64); rules as left, right and expansion length (uint32 each, by
-column); symbols (uint16 if all fit, else uint32). Rule k is nonterminal first + k and refers to lower symbols only, so
-expansion lengths give the place of any id without decoding what is before it.
+a symbol, first nonterminal, ids, CRC-32 of the rest, bytes of the rest); doc_id (int64 each) and a mask of null ids
+(uint8); the symbol at which each document begins and the end (uint64); rules as left, right and expansion length
+(uint32 each, by column); symbols (of 2, 3 or 4 bytes, as their number needs). Rule k is nonterminal first + k and
+refers to lower symbols only, so expansion lengths give the place of any id without decoding what is before it.
+
+Encoding is the tokenizers library's. It is given each whole text where a text has any character BEYOND the Latin blocks; of other
+texts, it is given each word it has not had before in this worker, many in a call, as its words are independent of each
+other and of the rest of a text (whole=True gives it every whole text, with the same files).
 
 Defined cases: null text counts as empty (just the end id); a repeated doc_id has an entry for each row, ordered by
-length and text; null ids come first; extra columns are ignored.
+length, hash and text; null ids come first; the longest text is one entry of one block; an empty table makes no files;
+extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,27 +41,32 @@ from skein.llm.bpe import Encoder, chunks, default_path
 from skein.llm.common import only, shared_dir, stored, table
 
 END = 1
-#: Ids of a block at least, new rules a round and in all (symbols then fit in two bytes), least count of a pair.
-BLOCK_IDS, ROUND_RULES, MOST_RULES, LEAST = 1 << 20, 6_000, 15_000, 12
+#: Ids of a block at least (a document is never cut), bytes of a file at least before the next one is begun.
+BLOCK_IDS, FILE_BYTES = 1 << 20, 256 << 20
+#: Least count of a pair that is replaced, and new rules a round at most; rounds go on while there is such a pair.
+LEAST, ROUND_RULES = 12, 6_000
+#: Texts without these characters are split into words here; all others go to the library whole.
+BEYOND = re.compile("[^\x00-\u024f]")
 HEAD = struct.Struct("<8Q")
 
 
 def repair(ids: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over ids, where last marks the end of each document and nonterminals begin at first.
 
-    Returns the symbols, their end marks, the rules (n x 2) and the expansion length of each rule. Unless MOST_RULES are
-    made, no pair is left that occurs LEAST times.
+    Returns the symbols, their end marks, the rules (n x 2) and the expansion length of each rule. No pair is left that
+    occurs LEAST times.
     """
     ids, last = ids.astype(np.uint32), last.copy()
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
     # A pair and its place are one number, so that one sort counts pairs and tells where they are.
-    width, place = np.uint64((first + MOST_RULES).bit_length()), np.uint64(len(ids).bit_length())
+    most = len(ids) // LEAST + 1  # a rule takes away LEAST symbols at least
+    width, place = np.uint64((first + most).bit_length()), np.uint64(len(ids).bit_length())
     low = lambda bits: (np.uint64(1) << bits) - np.uint64(1)
     if len(ids) and max(int(ids.max()) >> int(width), 2 * int(width) + int(place) - 64) > 0:
         raise ValueError("a block has too many ids or symbols")
     # Counts never grow: places whose pair was rare are not looked at again until a new symbol stands there.
     live = np.ones(len(ids), bool)
-    while len(ids) > 1 and (room := min(ROUND_RULES, MOST_RULES - len(rules))) > 0:
+    while len(ids) > 1:
         live &= ~last
         live[-1] = False
         counted = live.copy()
@@ -75,10 +86,10 @@ def repair(ids: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray, n
         if not len(best):
             break
         live[places[np.repeat(counts < LEAST, counts)]] = False
-        best = best[np.argsort(-counts[best], kind="stable")][:room]
-        rank_of = np.full(len(counts), MOST_RULES, np.int32)
+        best = best[np.argsort(-counts[best], kind="stable")][:ROUND_RULES]
+        rank_of = np.full(len(counts), ROUND_RULES, np.int32)
         rank_of[best] = np.arange(len(best), dtype=np.int32)
-        rank = np.full(len(ids) + 1, MOST_RULES, np.int32)  # one more at either end: the last is before the first
+        rank = np.full(len(ids) + 1, ROUND_RULES, np.int32)  # one more at either end: the last is before the first
         rank[places] = np.repeat(rank_of, counts)
         taken = np.flatnonzero((rank[:-1] < np.roll(rank, 1)[:-1]) & (rank[:-1] < rank[1:]))
         # A pair that keeps fewer than LEAST places waits; the best one keeps all of its own.
@@ -128,7 +139,7 @@ def pack(doc_ids: list, ids: list[np.ndarray], first: int) -> bytes:
     last[np.cumsum([len(x) for x in ids]) - 1] = True
     symbols, marks, rules, lengths = repair(flat, last, first)
     begins = np.concatenate(([0], np.flatnonzero(marks) + 1)).astype("<u8")
-    wide = 2 if first + len(rules) <= 1 << 16 else 4
+    wide = next(w for w in (2, 3, 4) if first + len(rules) <= 1 << 8 * w)
     body = b"".join(
         [
             np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
@@ -137,18 +148,20 @@ def pack(doc_ids: list, ids: list[np.ndarray], first: int) -> bytes:
             rules[:, 0].astype("<u4").tobytes(),
             rules[:, 1].astype("<u4").tobytes(),
             lengths.astype("<u4").tobytes(),
-            symbols.astype(f"<u{wide}").tobytes(),
+            np.ascontiguousarray(symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide]).tobytes(),
         ]
     )
-    return HEAD.pack(len(doc_ids), len(rules), len(symbols), wide, first, len(flat), zlib.crc32(body), 0) + body
+    return HEAD.pack(len(doc_ids), len(rules), len(symbols), wide, first, len(flat), zlib.crc32(body), len(body)) + body
 
 
 class Block:
-    """A block, read from a file's bytes."""
+    """A block, read from its bytes."""
 
-    def __init__(self, data: bytes, at: int):
-        docs, rules, symbols, wide, self.first, self.ids, crc, _ = HEAD.unpack_from(data, at)
-        at, begin = at + HEAD.size, at + HEAD.size
+    def __init__(self, data: bytes, at: int = 0):
+        docs, rules, symbols, wide, self.first, self.ids, crc, size = HEAD.unpack_from(data, at)
+        at += HEAD.size
+        if zlib.crc32(memoryview(data)[at : at + size]) != crc:
+            raise ValueError("a block of a token file is damaged")
 
         def take(n: int, kind: str) -> np.ndarray:
             nonlocal at
@@ -158,10 +171,11 @@ class Block:
 
         doc_ids, absent, self.begins = take(docs, "<i8"), take(docs, "u1"), take(docs + 1, "<u8").astype(np.int64)
         self.rules = np.stack([take(rules, "<u4"), take(rules, "<u4")], axis=1)
-        self.lengths, self.symbols, self.end = take(rules, "<u4"), take(symbols, f"<u{wide}").astype(np.uint32), at
+        self.lengths, packed = take(rules, "<u4"), take(symbols * wide, "u1").reshape(-1, wide)
+        full = np.zeros((symbols, 4), np.uint8)
+        full[:, :wide] = packed
+        self.symbols, self.end = full.reshape(-1).view("<u4").astype(np.uint32), at
         self.doc_ids = [None if gone else d for d, gone in zip(doc_ids.tolist(), absent)]
-        if zlib.crc32(memoryview(data)[begin:at]) != crc:
-            raise ValueError("a block of a token file is damaged")
 
     def sizes(self) -> np.ndarray:
         """Ids of each symbol."""
@@ -178,83 +192,129 @@ class Block:
         return expand(self.symbols[a:b], self.rules, self.first)[skip : skip + stop - start]
 
 
-@lru_cache(maxsize=1)
-def _library(path: str) -> Encoder:
-    """The encoder's memory of words, filled by the tokenizers library: its pieces of text are independent of each other."""
+def blocks(path: str) -> Iterator[Block]:
+    """The blocks of a file, one read after the other."""
+    at, end = 0, files.size(path)
+    while at < end:
+        size = HEAD.size + HEAD.unpack(files.read(path, at, HEAD.size))[-1]
+        yield Block(files.read(path, at, size))
+        at += size
+
+
+@lru_cache(maxsize=2)
+def _library(path: str, whole: bool = False) -> Callable[[list[str]], list[np.ndarray]]:
+    """Texts to ids by the tokenizers library; with whole, nothing else ever touches a text."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    mark = library.model.end_of_word_suffix.encode()
+    library.no_padding()
+    library.no_truncation()
+
+    def texts_whole(texts: list[str]) -> list[np.ndarray]:
+        made = [x.ids for k in range(0, len(texts), 64) for x in library.encode_batch_fast(texts[k : k + 64], add_special_tokens=False)]
+        return [np.array(x, "<u4") for x in made]
+
+    if whole:
+        return texts_whole
+    mark = library.model.end_of_word_suffix
 
     class ByLibrary(Encoder):
-        def learn(self, words: list[str]) -> None:
+        def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             # Many words in one call, apart by a space; each ends with the one symbol that has the end mark.
             some = [words[k : k + 500] for k in range(0, len(words), 500)]
             made = [x.ids for x in library.encode_batch_fast([" ".join(x) for x in some], add_special_tokens=False)]
             ids = np.fromiter((i for x in made for i in x), np.uint32, sum(map(len, made)))
-            ends = 4 * (np.flatnonzero(closes[ids]) + 1)
+            ends = np.flatnonzero(closes[ids]) + 1
             if len(ends) != len(words):
                 raise ValueError("the library split a word")
-            whole = ids.tobytes()
-            self.pieces.update(zip(words, [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]))
+            return ids, np.concatenate(([0], ends))
+
+    own = ByLibrary(path)
+    closes = np.array([t.endswith(mark.encode()) for t in own.vocabulary.tokens])
+
+    def texts_by_word(texts: list[str]) -> list[np.ndarray]:
+        simple = [t.isascii() or not BEYOND.search(t) for t in texts]
+        words = iter(own.encode([t for t, plain in zip(texts, simple) if plain]))
+        others = iter(texts_whole([t for t, plain in zip(texts, simple) if not plain]))
+        return [next(words if plain else others) for plain in simple]
+
+    return texts_by_word
+
+
+@lru_cache(maxsize=1)
+def _first_nonterminal(path: str) -> int:
+    from skein.llm.bpe import encoder
 
-    out = ByLibrary(path)
-    closes = np.array([t.endswith(mark) for t in out.vocabulary.tokens])
-    return out
+    return len(encoder(path).vocabulary.tokens)
 
 
-def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END) -> DataFrame:
-    """Writes docs as shard files; the manifest (path, n_docs, n_ids, first_doc, shard), a row a file, in stored form.
+def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END, whole: bool = False) -> DataFrame:
+    """Writes docs as shard files; the manifest (path, n_docs, n_ids, part, k), a row a file, in stored form.
 
-    Shards are ranges of doc_id in ascending order; within a shard documents ascend too.
+    Parts are ranges of doc_id in ascending order, k counts the files of a part; documents ascend throughout.
     """
     path = path or default_path()
     files.make_folder(f"{folder}/files")
-    ordered = only(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
+    order = ["doc_id", "size", "hash"]
+    rows = only(docs, "doc_id", "text").withColumn("size", F.length("text")).withColumn("hash", F.xxhash64("text"))
+    # Hash and length take part in the ranges, so that rows that share an id, or have none, are spread as well.
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _library(path)
-        first = len(own.vocabulary.tokens)
-        parts, doc_ids, ids, n_docs, n_ids, least, held = [], [], [], 0, 0, None, 0
-        tail = np.array([end], "<u4").tobytes()
-        for some, texts in chunks(batches):
-            if not n_docs:
-                least = some[0]
-            for d, made in zip(some, own.encode(texts)):
-                doc_ids.append(d)
-                ids.append(np.frombuffer(made + tail, "<u4"))
-                n_docs, n_ids, held = n_docs + 1, n_ids + len(ids[-1]), held + len(ids[-1])
-                if held >= BLOCK_IDS:
-                    parts.append(pack(doc_ids, ids, first))
-                    doc_ids, ids, held = [], [], 0
-        if ids:
-            parts.append(pack(doc_ids, ids, first))
-        if n_docs:
-            yield pa.RecordBatch.from_pydict({"path": [files.write(f"{folder}/files", parts)], "n_docs": [n_docs], "n_ids": [n_ids], "first_doc": pa.array([least], pa.int64())})
-
-    made = ordered.mapInArrow(run, "path string, n_docs long, n_ids long, first_doc long")
-    return stored(made, f"{folder}/manifest")
+        encode, first = _library(path, whole), _first_nonterminal(path)
+        part, made = [0], 0
+
+        def watched() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    part[0] = batch.column("part")[0].as_py()
+                yield batch
+
+        def packed() -> Iterator[tuple[int, int, bytes]]:
+            """(documents, ids, bytes) of each block."""
+            doc_ids, ids, held = [], [], 0
+            for some, texts in chunks(watched()):
+                for d, own in zip(some, encode(texts)):
+                    doc_ids.append(d)
+                    ids.append(np.append(own, np.uint32(end)))
+                    held += len(ids[-1])
+                    if held >= BLOCK_IDS:
+                        yield len(doc_ids), held, pack(doc_ids, ids, first)
+                        doc_ids, ids, held = [], [], 0
+            if ids:
+                yield len(doc_ids), held, pack(doc_ids, ids, first)
+
+        todo = packed()
+        block = next(todo, None)
+        while block is not None:
+            n_docs, n_ids, written = 0, 0, 0
+            with files.writing(f"{folder}/files") as (name, out):
+                while block is not None and written < FILE_BYTES:
+                    out.write(block[2])
+                    n_docs, n_ids, written = n_docs + block[0], n_ids + block[1], written + len(block[2])
+                    block = next(todo, None)
+            yield pa.RecordBatch.from_pydict({"path": [name], "n_docs": [n_docs], "n_ids": [n_ids], "part": pa.array([part[0]], pa.int32()), "k": pa.array([made], pa.int32())})
+            made += 1
+
+    return stored(ordered.mapInArrow(run, "path string, n_docs long, n_ids long, part int, k int"), f"{folder}/manifest")
 
 
 def shard_starts(manifest: DataFrame) -> DataFrame:
-    """The manifest with `start`, the ids in all shards before. A row a file: the only table that is ordered as a whole."""
-    before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)
+    """The manifest with `start`, the ids in all files before. A row a file: the only table that is ordered as a whole."""
+    before = Window.orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone; start counts from the first shard."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone; start counts from the first file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
-                data, at = files.read(path), 0
-                while at < len(data):
-                    block = Block(data, at)
-                    at = block.end
+                for block in blocks(path):
                     ids = expand(block.symbols, block.rules, block.first)
                     size = np.add.reduceat(block.sizes(), block.begins[:-1])
                     ends = np.cumsum(size)
