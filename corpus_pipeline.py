@@ -15,13 +15,13 @@ from skein.llm import bpe, decontaminate, language_id, line_dedup, simhash_dedup
 from skein.llm.common import shared_dir, stored, table
 
 
-#: The share of a document's letters that its language must have. Foreign spans and rough text stay, mixtures go.
-MAJORITY = 0.5
+#: The share of a document's letters that one language must have. Foreign spans, rough and bilingual text stay, mixtures go.
+SHARE = 0.4
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language: null text, text without a letter, or no language for MAJORITY of the letters."""
-    return language_id.identified(docs, language_id.train(docs), MAJORITY)
+    """Rejects documents in no language: null text, text without a letter, or no language for SHARE of the letters."""
+    return language_id.identified(docs, language_id.train(docs), SHARE)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
