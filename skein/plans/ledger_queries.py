@@ -72,8 +72,8 @@ def _told(s: SparkSession, d: str) -> DataFrame:
 
 
 add("k1_fact_init", _told, _view(then="""SELECT chat_id, name AS entity_id, obs_id, "at"::INT AS "at", 0 AS ord, 'F' || left(md5(name || '|w' || md5(name) || ' seen'), 12) AS fact_id, 'w' || md5(name) || ' seen' AS text, CASE WHEN value < 50 THEN 'rumor' ELSE 'confirmed' END AS status FROM live"""))
-add("e3_entity_rollup", _events(lambda o: D.rollup(o, KEY, "pos").select(*KEY, "live_obs", "first_at", "last_at", *[F.round(c, 6).alias(c) for c in ("imp_max", "imp_avg", "conf_max", "conf_avg")])),
-    _obs(then="SELECT chat_id, entity_id, count(*) AS live_obs, min(pos) AS first_at, max(pos) AS last_at, round(max(importance), 6) AS imp_max, round(avg(importance), 6) AS imp_avg, round(max(confidence), 6) AS conf_max, round(avg(confidence), 6) AS conf_avg FROM obs GROUP BY ALL"))
+add("e3_entity_rollup", _events(lambda o: D.rollup(o, KEY, "pos").select(*KEY, "live_obs", "first_at", "last_at", *[F.round(c, 9).alias(c) for c in ("imp_max", "imp_avg", "conf_max", "conf_avg")])),
+    _obs(then="SELECT chat_id, entity_id, count(*) AS live_obs, min(pos) AS first_at, max(pos) AS last_at, round(max(importance), 9) AS imp_max, round(avg(importance), 9) AS imp_avg, round(max(confidence), 9) AS conf_max, round(avg(confidence), 9) AS conf_avg FROM obs GROUP BY ALL"))
 add("d12_type_rule_lookup", _events(lambda o: o.select("obs_id", F.concat("entity_id", F.lit("")).alias("t")).withColumn("t", F.when(F.col("t") == "view", "character").when(F.col("t") == "click", "mystery").when(F.col("t") == "error", "no such type").otherwise("other")).select("obs_id", *[D.rule_of(Settings(), F.col("t"), m).alias(m) for m in ("on", "min_appearances", "min_importance")])),
     _obs(then="""SELECT obs_id, entity_id IN ('view', 'click') AS "on", CASE entity_id WHEN 'view' THEN 2 WHEN 'click' THEN 1 ELSE 3 END AS min_appearances, CASE entity_id WHEN 'view' THEN 3 WHEN 'click' THEN 6 ELSE 5 END AS min_importance FROM obs"""))
 
