@@ -203,6 +203,12 @@ class Encoder:
                 out += _splitter(self.path)(part) if beyond.search(low) else fast.findall(low)
         return out
 
+    def numbered(self, texts: list[str], special: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all words, where each text's begin and the last ends)."""
+        laid = [self.words(text, special) for text in texts]
+        ends = np.cumsum([0, *map(len, laid)])
+        return np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(laid)), np.int64, int(ends[-1])), ends
+
     def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, where each word's begin and the last ends)."""
         return self.vocabulary.merge([w.encode("utf-8", "surrogatepass") for w in words])
@@ -211,9 +217,7 @@ class Encoder:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if len(self.numbers) > MEMORY_WORDS or self.chars > MEMORY_CHARS:
             self.forget()
-        laid = [self.words(text, special) for text in texts]
-        ends = np.cumsum([0, *map(len, laid)])
-        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(laid)), np.int64, int(ends[-1]))
+        numbers, ends = self.numbered(texts, special)
         if fresh := self.numbers.fresh:
             ids, begins = self.learn(fresh)
             self.begins = np.concatenate((self.begins, self.begins[-1] + begins[1:]))

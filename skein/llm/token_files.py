@@ -14,8 +14,9 @@ a symbol, first nonterminal, ids, CRC-32 of the rest, bytes of the rest); doc_id
 refers to lower symbols only, so expansion lengths give the place of any id without decoding what is before it.
 
 Encoding is the tokenizers library's. It is given each whole text where a text has any character BEYOND the Latin blocks; of other
-texts, it is given each word it has not had before in this worker, many in a call, as its words are independent of each
-other and of the rest of a text (whole=True gives it every whole text, with the same files).
+texts, all words of a chunk are found at once, and the library's model is given each word it has not had before in this worker,
+many in a call, as its words are independent of each other and of the rest of a text (whole=True gives the library every whole
+text, with the same files).
 
 Defined cases: null text counts as empty (just the end id); a repeated doc_id has an entry for each row, ordered by
 length, hash and text; null ids come first; the longest text is one entry of one block; an empty table makes no files;
@@ -24,11 +25,14 @@ extra columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from skein.llm import files
-from skein.llm.bpe import Encoder, chunks, default_path
+from skein.llm.bpe import SPACE, Encoder, byte_symbols, chunks, default_path
 from skein.llm.common import only, shared_dir, stored, table
 
 END = 1
@@ -70,7 +74,8 @@ def repair(ids: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray, n
         live &= ~last
         live[-1] = False
         counted = live.copy()
-        same = np.flatnonzero((ids[1:] == ids[:-1]) & ~last[:-1])
+        same = np.flatnonzero(ids[1:] == ids[:-1])
+        same = same[~last[same]]
         if len(same):  # in a run of one symbol every other pair counts: the others overlap these
             begin = np.maximum.accumulate(np.where(np.diff(same, prepend=-2) != 1, same, 0))
             counted[same[(same - begin) % 2 == 1]] = False
@@ -79,7 +84,7 @@ def repair(ids: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray, n
             break
         keyed = (ids[at].astype(np.uint64) << width | ids[at + 1]) << place | at.astype(np.uint64)
         keyed.sort()
-        pair, places = keyed >> place, (keyed & low(place)).astype(np.int64)
+        pair, places = keyed >> place, (keyed & low(place)).view(np.int64)
         begins = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
         counts = np.diff(begins, append=len(pair))
         best = np.flatnonzero(counts >= LEAST)
@@ -89,22 +94,27 @@ def repair(ids: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray, n
         best = best[np.argsort(-counts[best], kind="stable")][:ROUND_RULES]
         rank_of = np.full(len(counts), ROUND_RULES, np.int32)
         rank_of[best] = np.arange(len(best), dtype=np.int32)
+        own = np.repeat(rank_of, counts)
+        ranked = np.flatnonzero(own < ROUND_RULES)
+        places, own = places[ranked], own[ranked]
         rank = np.full(len(ids) + 1, ROUND_RULES, np.int32)  # one more at either end: the last is before the first
-        rank[places] = np.repeat(rank_of, counts)
-        taken = np.flatnonzero((rank[:-1] < np.roll(rank, 1)[:-1]) & (rank[:-1] < rank[1:]))
+        rank[places] = own
+        won = np.flatnonzero((own < rank[places - 1]) & (own < rank[places + 1]))
+        taken, own = places[won], own[won]
         # A pair that keeps fewer than LEAST places waits; the best one keeps all of its own.
-        worth = np.bincount(rank[taken], minlength=len(best)) >= LEAST
-        taken = taken[worth[rank[taken]]]
+        worth = np.bincount(own, minlength=len(best)) >= LEAST
+        taken, own = taken[worth[own]], own[worth[own]]
         made = pair[begins[best[worth]]]
         added = np.stack([(made >> width).astype(np.uint32), (made & low(width)).astype(np.uint32)], axis=1)
         size = np.concatenate((np.ones(first, np.uint32), lengths))
-        ids[taken] = (first + len(rules) + np.cumsum(worth) - 1)[rank[taken]].astype(np.uint32)
+        ids[taken] = (first + len(rules) + np.cumsum(worth) - 1)[own].astype(np.uint32)
         rules, lengths = np.concatenate((rules, added)), np.concatenate((lengths, size[added[:, 0]] + size[added[:, 1]]))
         last[taken] = last[taken + 1]
         live[taken] = True
         live[taken[taken > 0] - 1] = True
         kept = np.ones(len(ids), bool)
         kept[taken + 1] = False
+        kept = np.flatnonzero(kept)
         ids, last, live = ids[kept], last[kept], live[kept]
     return ids, last, rules, lengths
 
@@ -201,9 +211,44 @@ def blocks(path: str) -> Iterator[Block]:
         at += size
 
 
-@lru_cache(maxsize=2)
-def _library(path: str, whole: bool = False) -> Callable[[list[str]], list[np.ndarray]]:
-    """Texts to ids by the tokenizers library; with whole, nothing else ever touches a text."""
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of each simple character: 0 white space, 1 a letter, 2 a digit, 3 any other."""
+    blank = re.compile(f"[{SPACE}]")
+    return np.array([0 if blank.match(c) else {"L": 1, "N": 2}.get(unicodedata.category(c)[0], 3) for c in map(chr, range(0x250))], np.uint8)
+
+
+def split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of lower-cased texts of simple characters as bpe.WORDS has them, found in all texts at once.
+
+    Returns the distinct words, which of them each word is, and where each text's words begin and the last ends.
+    """
+    codes = np.frombuffer(" ".join([*texts, "    "]).encode("utf-16-le"), "<u2")  # two bytes a character; blanks after the last
+    kind = _kinds()[codes]
+    starts = np.ones(len(codes), bool)
+    starts[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    # A single apostrophe before letters takes the first or the first two of them along if they are an ending.
+    at = np.flatnonzero(codes[:-3] == ord("'"))
+    at = at[(kind[at + 1] == 1) & ((kind[at - 1] != 3) | (at == 0))]
+    one, two = codes[at + 1], codes[at + 1].astype(np.uint32) << 16 | codes[at + 2]
+    short, long = at[np.isin(one, [ord(c) for c in "stmd"])], at[np.isin(two, [ord(a) << 16 | ord(b) for a, b in ("re", "ve", "ll")])]
+    starts[short + 1] = starts[long + 1] = False
+    starts[short + 2] = starts[long + 3] = True
+    bounds = np.flatnonzero(starts)  # the last run is blanks
+    word = np.flatnonzero(kind[bounds])
+    begin = bounds[word]
+    offsets = np.concatenate(([0], np.cumsum(2 * (bounds[word + 1] - begin))))
+    words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(codes[kind != 0])])
+    found = words.dictionary_encode()
+    begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
+    _, cuts, distinct = found.dictionary.buffers()
+    cuts, distinct = (np.frombuffer(cuts, np.int64, len(found.dictionary) + 1) // 2).tolist(), str(distinct or b"", "utf-16-le")
+    return [distinct[a:b] for a, b in zip(cuts, cuts[1:])], found.indices.to_numpy(), np.searchsorted(begin, begins)
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """The tokenizers library with the vocabulary, one a worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -212,6 +257,13 @@ def _library(path: str, whole: bool = False) -> Callable[[list[str]], list[np.nd
     library = Tokenizer.from_file(path)
     library.no_padding()
     library.no_truncation()
+    return library
+
+
+@lru_cache(maxsize=2)
+def _library(path: str, whole: bool = False) -> Callable[[list[str]], list[np.ndarray]]:
+    """Texts to ids by the tokenizers library; with whole, nothing else ever touches a text."""
+    library = _tokenizer(path)
 
     def texts_whole(texts: list[str]) -> list[np.ndarray]:
         made = [x.ids for k in range(0, len(texts), 64) for x in library.encode_batch_fast(texts[k : k + 64], add_special_tokens=False)]
@@ -219,14 +271,33 @@ def _library(path: str, whole: bool = False) -> Callable[[list[str]], list[np.nd
 
     if whole:
         return texts_whole
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import CharDelimiterSplit
+
     mark = library.model.end_of_word_suffix
+    # Words are normalised and split when they come to the library's model; all that is left is to write them as byte symbols.
+    model = Tokenizer(library.model)
+    model.pre_tokenizer = CharDelimiterSplit(" ")
+    symbols = "".join(" " if b == ord(" ") else s for b, s in enumerate(byte_symbols()))
 
     class ByLibrary(Encoder):
+        def numbered(self, texts: list[str], special: bool = True) -> tuple[np.ndarray, np.ndarray]:
+            # Special tokens, and characters that lower-case to ones beyond, are left to words().
+            low = [t.lower() for t in texts]
+            easy = [not (special and "<|" in t) and (t.isascii() or not BEYOND.search(x)) for t, x in zip(texts, low)]
+            words, which, begins = split([x for x, plain in zip(low, easy) if plain])
+            flat = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))[which]
+            if all(easy):
+                return flat, begins
+            done = iter(np.split(flat, begins[1:-1]))
+            laid = [next(done) if plain else np.array([self.numbers[w] for w in self.words(t, special)], np.int64) for t, plain in zip(texts, easy)]
+            return np.concatenate(laid), np.cumsum([0, *map(len, laid)])
+
         def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             # Many words in one call, apart by a space; each ends with the one symbol that has the end mark.
-            some = [words[k : k + 500] for k in range(0, len(words), 500)]
-            made = [x.ids for x in library.encode_batch_fast([" ".join(x) for x in some], add_special_tokens=False)]
-            ids = np.fromiter((i for x in made for i in x), np.uint32, sum(map(len, made)))
+            some = [" ".join(words[k : k + 500]).encode() for k in range(0, len(words), 500)]
+            made = [x.ids for x in model.encode_batch_fast([codecs.charmap_decode(x, "strict", symbols)[0] for x in some], add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(made), np.uint32, sum(map(len, made)))
             ends = np.flatnonzero(closes[ids]) + 1
             if len(ends) != len(words):
                 raise ValueError("the library split a word")
@@ -246,9 +317,7 @@ def _library(path: str, whole: bool = False) -> Callable[[list[str]], list[np.nd
 
 @lru_cache(maxsize=1)
 def _first_nonterminal(path: str) -> int:
-    from skein.llm.bpe import encoder
-
-    return len(encoder(path).vocabulary.tokens)
+    return 1 + max(_tokenizer(path).get_vocab().values())
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END, whole: bool = False) -> DataFrame:

@@ -149,6 +149,36 @@ def test_simple_characters_one_by_one():
         assert a.tolist() == b.tolist(), t
 
 
+@given(st.lists(st.text(alphabet=st.characters(max_codepoint=0x24F) | st.sampled_from("'stmdrevl 1,\u00c9\u00df\xa0\x85\x1c"), max_size=40), max_size=5))
+@example([])
+@example(["", "", "'"])
+@example(["'s", "x''s 'sx,'s 's's", "'re'rx 'v 'l", "'ll", "'", "s", "1'd1'", " 'm ", "\u00e9'\u00e9't"])
+def test_words_are_split_as_one_by_one(texts):
+    own = bpe.encoder(bpe.default_path())
+    low = [t for t in (t.lower() for t in texts) if not token_files.BEYOND.search(t)]
+    words, which, begins = token_files.split(low)
+    found = [words[k] for k in which.tolist()]
+    assert [found[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())] == [own.words(t, False) for t in low]
+    assert len(words) == len(set(words)) and len(begins) == len(low) + 1 and begins[-1] == len(found)
+
+
+def test_work_by_distinct_word(monkeypatch):
+    """The words of a chunk are looked up once each, however often they occur."""
+    asked = []
+
+    class Counted(bpe.Words):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    monkeypatch.setattr(bpe, "Words", Counted)
+    encode, text = token_files._library.__wrapped__(bpe.default_path()), "The dog's caf\u00e9, 12 " * 500
+    asked.clear()
+    want = library_().encode(text, add_special_tokens=False).ids
+    assert all(x.tolist() == want for x in encode([text] * 3))
+    assert len(asked) == 7, len(asked)
+
+
 def test_token_counts(spark, monkeypatch):
     own = library()
     own.encode_special_tokens = True
