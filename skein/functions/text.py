@@ -55,7 +55,8 @@ def ligatures() -> str:
     own = [c for c in range(0xA0, 0x30000) if not 0xD800 <= c <= 0xDFFF and len(_decomposed(chr(c))) > 1]
     first = [c for c, before in zip(own, [-9, *own]) if c != before + 1]
     last = [c for c, after in zip(own, [*own[1:], -9]) if c != after - 1]
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(first, last)) + "]"
+    # ASCII is told apart first: every character that no range holds is held against all of them.
+    return "[^\\x00-\\x7F&&[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(first, last)) + "]]"
 
 
 # fixed values: letters with a stroke, which have no decomposition though the JVM's library drops the stroke
@@ -71,9 +72,13 @@ def decomposed(x: Column | str) -> Column:
 
 
 def norm(x: Column | str) -> Column:
-    """Lower case, no accents, no punctuation, single spaces (C2); the same as the rule in Python."""
-    kept = F.regexp_replace(F.regexp_replace(F.lower(decomposed(x)), APOSTROPHES, ""), r"(?U)[^\p{L}\p{N}\s]", " ")
-    return F.trim(F.regexp_replace(kept, r"(?U)\s+", " "))
+    """Lower case, no accents, no punctuation, single spaces (C2); the same as the rule in Python.
+
+    A text of ASCII alone has nothing to decompose, and is spared the tables of all other characters.
+    """
+    text = text_of(x)
+    spaced = lambda c, other: F.trim(F.regexp_replace(F.regexp_replace(c, APOSTROPHES, ""), other, " "))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), spaced(F.lower(decomposed(text)), r"(?U)[^\p{L}\p{N}]+")).otherwise(spaced(F.lower(text), "[^a-z0-9]+"))
 
 
 def hash53(x: Column | str) -> Column:

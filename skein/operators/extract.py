@@ -53,13 +53,15 @@ def system_prompt(settings: Settings, nonce: str) -> str:
 def mentioned(names: DataFrame, windows: DataFrame) -> DataFrame:
     """(chat_id, batch_id, entity_id) of names of three or more characters that stand in a window as whole words.
 
-    Names and windows meet by the first word of the name; only those pairs are compared as a whole.
+    A window is cut into runs of as many words as names of its chat have, and meets them by equality: what is sent of a
+    window is a few times its text, whatever it mentions. Neither side is small, however small a plan takes it to be.
     """
     text = windows.groupBy("chat_id", "batch_id").agg(X.norm(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda r: r["text"]), " ")).alias("said"))
-    words = text.select("chat_id", "batch_id", "said", F.explode(F.array_distinct(X.words_of(F.col("said")))).alias("word"))
-    first = names.where("length(norm_name) >= 3").select("chat_id", "entity_id", "norm_name", F.substring_index("norm_name", " ", 1).alias("word"))
-    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    return words.join(first, ["chat_id", "word"]).where(F.contains(padded(F.col("said")), padded(F.col("norm_name")))).select("chat_id", "batch_id", "entity_id").distinct()
+    named = names.where("length(norm_name) >= 3").select("chat_id", "entity_id", "norm_name")
+    lengths = named.select("chat_id", F.size(F.split("norm_name", " ")).alias("k")).distinct()
+    run = lambda w: F.when(F.col("k") == 1, w).when(F.size(w) >= F.col("k"), F.transform(F.sequence(F.lit(1), F.size(w) - F.col("k") + 1), lambda i: F.array_join(F.slice(w, i, F.col("k")), " ")))
+    runs = text.join(lengths.hint("merge"), "chat_id").select("chat_id", "batch_id", F.explode(F.array_distinct(X.let(X.words_of(F.col("said")), run))).alias("norm_name"))
+    return runs.join(named.hint("merge"), ["chat_id", "norm_name"]).select("chat_id", "batch_id", "entity_id").distinct()
 
 
 def last_facts(facts: DataFrame, most: int = LAST_FACTS) -> DataFrame:
