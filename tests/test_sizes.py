@@ -1,9 +1,18 @@
 """What steps send and compare, by the counts of their plans: it grows as the input does, whatever is alike in it."""
 
+import hashlib
+import random
+
+from pyspark.sql import functions as F
+
 from skein.functions import plain as P
 from skein.functions import text as X
 from skein.operators import extract as E
+from skein.operators import resolve as J
 
+N = 400
+MENTIONS = "chat_id string, mention_id long, name string, type string, aliases array<string>"
+REGISTRY = "chat_id string, entity_id string, type string, src string, display string, static_of string, norm_name string"
 
 
 def counts(df, metric):
@@ -27,6 +36,58 @@ def counts(df, metric):
     return list(walk(df._jdf.queryExecution().executedPlan()))
 
 
+def asked_and_named(spark, called, known):
+    asked = J.queries(spark.createDataFrame([("c", i, n, "character", []) for i, n in enumerate(called)], MENTIONS))
+    return asked, spark.createDataFrame([("c", f"e{i:04d}", "character", "dyn", n, None, n) for i, n in enumerate(known)], REGISTRY)
+
+
+def test_names_that_many_share_are_met_once(spark):
+    asked, names = asked_and_named(spark, ["Red Bolt"] * N, ["red bolt"] * N)
+    for df, how in ((J.exact(asked, names), "exact"), (J.by_tokens(asked, names), "tokens-dyn")):
+        assert max(counts(df, "numOutputRows")) <= 2 * N
+        assert {(r["entity_id"], r["how"]) for r in df.collect()} == {(None, how)} and df.count() == N
+
+
+def test_spellings_are_compared_without_a_row_for_each_pair(spark):
+    asked, names = asked_and_named(spark, [f"keeqer of the bolt number {i}" for i in range(N)], [f"keeper of the bolt number {i}" for i in range(N)])
+    df = J.fuzzy(asked, names)
+    assert max(counts(df, "numOutputRows")) <= 2 * N
+    want = {}
+    for i in range(N):
+        scores = sorted(((P.dice(f"keeqer of the bolt number {i}", f"keeper of the bolt number {k}"), k) for k in range(N)), reverse=True)
+        if scores[0][0] >= J.FUZZY and scores[0][0] - scores[1][0] > J.MARGIN:
+            want[i] = f"e{scores[0][1]:04d}"
+    assert want and {r["mention_id"]: r["entity_id"] for r in df.collect()} == want
+
+
+def test_two_ways_to_ask_for_one_spelling_are_ambiguous(spark):
+    asked = J.queries(spark.createDataFrame([("c", 1, "Baroness Vaskowich", "character", ["baroness vaskowich!"]), ("c", 2, "Baroness Vaskowich", "character", [])], MENTIONS))
+    _, names = asked_and_named(spark, [], ["baroness vaskovich"])
+    assert [r["mention_id"] for r in J.fuzzy(asked, names).collect()] == [2]
+
+
+def test_new_names_are_not_compared_with_all_before_them(monkeypatch):
+    calls, dice = [], P.dice
+    monkeypatch.setattr(J.P, "dice", lambda a, b: calls.append(1) or dice(a, b))
+    names = J.Names([])
+    for i in range(N):
+        made = names.take({"name": "n" + hashlib.md5(str(i).encode()).hexdigest(), "aliases": [], "keys": [], "type": "character", "matches_id": ""})
+        assert made["how"] == "new"
+    assert len(calls) < N
+
+
+def test_sketches_lose_no_spelling():
+    draw = random.Random(7)
+    words = ["".join(draw.choices("abc ", k=draw.randint(5, 14))).strip() or "x" for _ in range(300)]
+    kept = {}
+    for w in dict.fromkeys(words):
+        kept.setdefault(len(w), J.Spellings()).add(w)
+    for q in words[:60]:
+        for length, spellings in kept.items():
+            near = set(spellings.near(len(q) + 1, J.sketch(q)))
+            assert near >= {t for t in spellings.texts if P.dice(q, t) >= J.NEARLY}
+
+
 def test_mentions_send_a_text_once(spark, tmp_path):
     words = [f"word{i:04d}" for i in range(2000)]
     spark.createDataFrame([("c", 0, n, " ".join(words[n * 500 : n * 500 + 500])) for n in range(4)], "chat_id string, batch_id long, n int, text string").write.parquet(f"{tmp_path}/w")
