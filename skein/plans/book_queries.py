@@ -72,8 +72,8 @@ def _told(s: SparkSession, d: str) -> DataFrame:
 
 add("h3_facts_plus_rels", _told, _with(KEPT, then="""SELECT k.chat_id, k.pos AS batch_id, concat_ws(' // ', t.fact, CASE WHEN NOT k.is_user AND length(k.ev) >= 6 THEN 'Someone: walks along' END) AS facts, CASE WHEN NOT k.is_user AND length(k.ev) >= 6 THEN 'ally' ELSE '' END AS kinds
 FROM kept k LEFT JOIN told t ON k.chat_id = t.chat_id AND k.pos = t.pos WHERE t.fact IS NOT NULL OR (NOT k.is_user AND length(k.ev) >= 6)"""))
-add("i1_validate_shape", lambda s, d: answers(s, d).dropped.where("what = 'response'").select("chat_id", "batch_id"), _with(then="SELECT chat_id, pos AS batch_id FROM chain WHERE pos = 5"))
-add("q9_retry", lambda s, d: I.chain(s, d).select("chat_id", F.col("pos").cast("long").alias("batch_id"), "sig").join(answers(s, d).dropped.where("what = 'response'").select("chat_id", "batch_id"), ["chat_id", "batch_id"], "left_anti").select("chat_id", "sig").distinct(),
+add("i1_validate_shape", lambda s, d: answers(s, d).unusable.select("chat_id", "batch_id"), _with(then="SELECT chat_id, pos AS batch_id FROM chain WHERE pos = 5"))
+add("q9_retry", lambda s, d: I.chain(s, d).select("chat_id", F.col("pos").cast("long").alias("batch_id"), "sig").join(answers(s, d).unusable.select("chat_id", "batch_id"), ["chat_id", "batch_id"], "left_anti").select("chat_id", "sig").distinct(),
     _with(then="SELECT DISTINCT chat_id, sig FROM chain WHERE pos <> 5"))
 
 
